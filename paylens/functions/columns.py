@@ -1,65 +1,94 @@
-"""Column expressions shared by the operators. All are JVM-side built-ins."""
+"""Expressions shared by the operators. All are JVM-side built-ins.
+
+Long CASE chains are built as SQL text and parsed once: a single call into the
+JVM instead of one per branch.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The Unicode white-space characters.
 WHITE_SPACE = (
-    "\t\n\x0b\x0c\r \x85\xa0\u1680"
-    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u2028\u2029\u202f\u205f\u3000"
+    "\t\n\x0b\x0c\r \x85\xa0 "
+    "           "
+    "    　"
 )
 
 
-def case(branches: Iterable[tuple[Column, object]], default=None) -> Column:
-    """``CASE WHEN`` over (condition, value) pairs."""
-    expr = F
-    for condition, value in branches:
-        expr = expr.when(condition, value)
-    return expr.otherwise(default)
+def name(col: str) -> str:
+    """A column name as SQL."""
+    return "`" + col.replace("`", "``") + "`"
 
 
-def r6(c: Column) -> Column:
-    """Output rounding: six digits, so that summation order cannot show."""
-    return F.round(c.cast("double"), 6)
+def literal(value) -> str:
+    """A Python value as a SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
 
 
-def trim_space(c: Column) -> Column:
-    """Strip all white space, not only blanks as ``trim`` does."""
-    return F.btrim(c, F.lit(WHITE_SPACE))
+def case(branches: Iterable[tuple[str, object]], default=None) -> str:
+    """``CASE WHEN`` over (SQL condition, value) pairs, as SQL."""
+    whens = " ".join(f"WHEN {condition} THEN {literal(value)}" for condition, value in branches)
+    return f"CASE {whens} ELSE {literal(default)} END"
 
 
-def to_number(c: Column, is_text: bool) -> Column:
-    """Number or null; never NaN, never an error."""
-    if is_text:
-        # Java reads "12f" and "12d" as numbers; a data file does not mean that.
-        c = F.when(~F.rlike(c, F.lit(r"[0-9.][dDfF]\s*$")), c)
-    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
+def choose(expr: str, values: dict) -> str:
+    """The value listed for the result of ``expr``, or null, as SQL; ``expr`` is evaluated once."""
+    pairs = ", ".join(f"{literal(key)}, {literal(value)}" for key, value in values.items())
+    return f"try_element_at(map({pairs}), {expr})"
+
+
+def first_match(col: str, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
+    """Label of the first rule one of whose substrings occurs in the lower-cased text."""
+    text = f"lower({name(col)})"
+    branches = ((" OR ".join(f"contains({text}, {literal(p)})" for p in parts), label) for label, parts in rules)
+    return F.expr(case(branches, default))
+
+
+def level_rank(col: str, levels: Sequence[str]) -> Column:
+    """1-based position of the value in ``levels``; null for any other value."""
+    return F.expr(choose(name(col), {level: i for i, level in enumerate(levels, 1)}))
 
 
-def contains_any(c: Column, parts: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(p) for p in parts])
+def band_of(col: str, edges: Sequence[float], labels: Sequence[str]) -> Column:
+    """Right-closed bands: the first edge not below the value; the last label above all."""
+    branches = [(f"{name(col)} IS NULL", None)]
+    branches += [(f"{name(col)} <= {literal(edge)}", label) for edge, label in zip(edges, labels)]
+    return F.expr(case(branches, labels[-1]))
 
 
-def first_match(c: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
-    """Label of the first rule one of whose substrings occurs in ``c``."""
-    return case(((contains_any(c, parts), label) for label, parts in rules), default)
+def null_if_in(col: str, marks: Sequence[str]) -> Column:
+    return F.expr(f"CASE WHEN {name(col)} NOT IN ({', '.join(map(literal, marks))}) THEN {name(col)} END")
 
 
-def level_rank(c: Column, levels: Sequence[str]) -> Column:
-    """1-based position of ``c`` in ``levels``; null for any other value."""
-    return case((c == level, i) for i, level in enumerate(levels, 1)).cast("int")
+def null_if_negative(col: str) -> Column:
+    return F.expr(f"CASE WHEN NOT {name(col)} < 0 THEN {name(col)} END")
 
 
-def band_of(c: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
-    """Right-closed bands: the first edge not below ``c``; the last label above all."""
-    bands = [(c <= edge, label) for edge, label in zip(edges, labels)]
-    return F.when(c.isNotNull(), case(bands, labels[-1]))
+def trim_space(col: str) -> Column:
+    """Strip all white space, not only blanks as ``trim`` does."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
+
+
+def to_number(col: str, is_text: bool, to: str = "double") -> Column:
+    """Number or null; never NaN, never an error."""
+    c = name(col)
+    if is_text:
+        # Java reads "12f" and "12d" as numbers; a data file does not mean that.
+        c = f"CASE WHEN NOT rlike({c}, '[0-9.][dDfF][ \\\\t]*$') THEN {c} END"
+    return F.expr(f"CAST(nanvl(try_cast({c} AS double), NULL) AS {to})")
+
+
+def r6(c: Column) -> Column:
+    """Output rounding: six digits, so that summation order cannot show."""
+    return F.round(c.cast("double"), 6)
 
 
 def avg_if(cond: Column, c: Column) -> Column:

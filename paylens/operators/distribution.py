@@ -70,8 +70,8 @@ def histogram(df: DataFrame, col: str, bins: int, min_n: int) -> DataFrame:
         .groupBy(placed.cast("bigint").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    last = F.when(w > 0, F.lit(bins - 1)).otherwise(F.lit(0))
-    grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0), last)).cast("bigint"))
+    last = F.when(w > 0, F.lit(bins - 1)).otherwise(F.lit(0)).cast("bigint")
+    grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     return grid.join(counts, "bin", "left").select(
         "bin",
         r6(F.col("_origin") + F.col("bin") * w).alias("x_lo"),

@@ -2,92 +2,89 @@
 
 ``percentile`` and ``median`` keep every distinct value of a group in the memory
 of one task. With seven roles over a table of billions of rows that is seven
-tasks. ``grouped_percentiles`` gets the same numbers in two aggregations that
-Spark combines on the map side:
+tasks. ``grouped_percentiles`` gets the same numbers from two scans, each reduced
+on the map side to a few thousand counts per group:
 
 1. Count the rows of each group in fixed, fine bins of the value (0.27 % wide).
    The cumulative counts tell in which bins the wanted ranks lie.
-2. Count the distinct values of those few bins only. All other bins keep one row.
-   The cumulative counts now give the values at the wanted ranks.
-
-A bin whose smallest and largest value agree needs no second look. If that holds
-for all wanted bins, the set of open bins is empty, and adaptive execution drops
-the second scan altogether.
+2. Count again, now by distinct value inside those few bins and by bin elsewhere.
+   The cumulative counts give the values at the wanted ranks.
 
 Sizes: a window task sees one group's bins (256 per doubling of the value) and
 the distinct values in its open bins, whatever the number of rows. The broadcast
 set of open bins holds at most ``GROUP_SLOTS`` x bins rows, whatever the number
-of groups.
+of groups. Nothing depends on which group holds most of the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from math import log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paylens.functions.columns import literal, name
+
 BINS_PER_OCTAVE = 256
-LOWEST_OCTAVE = 1100  # below the binary logarithm of the smallest double
+FINEST_UNIT = 2**-20  # below this magnitude bins get wider, relative to the value
 GROUP_SLOTS = 256
+NULL_BIN = "-9223372036854775807L"
 
+CELL = ["_measure", "_slot", "_bin"]
 
-def _bin(value: Column) -> Column:
-    """A bin number that never decreases as the value grows; null for null."""
-    magnitude = F.floor((F.log2(F.abs(value)) + LOWEST_OCTAVE) * BINS_PER_OCTAVE)
-    return F.when(value > 0, magnitude).when(value < 0, -magnitude).when(value == 0, F.lit(0))
+# A bin number that never decreases as the value grows.
+BIN = (
+    f"coalesce(floor(signum(_value) * log1p(abs(_value) * {1 / FINEST_UNIT}D) * {BINS_PER_OCTAVE / log(2)}D), {NULL_BIN})"
+)
 
 
-def _measures(df: DataFrame, keys: Sequence[str], cols: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
-    """Long form: one row per posting and measure, with its bin."""
-    wide = df.select(
-        *keys,
-        *[c.alias(f"_t_{name}") for name, c in totals.items()],
-        *[F.col(c).cast("double").alias(f"_m_{c}") for c in cols],
-    )
-    kept = [*keys, *[f"_t_{name}" for name in totals]]
-    values = [f"_m_{c}" for c in cols]
-    if len(values) == 1:
-        long = wide.withColumnRenamed(values[0], "_value").withColumn("_measure", F.lit(values[0]))
+def _measures(df: DataFrame, keys: Sequence[str], cols: Sequence[str], totals: Mapping[str, str]) -> DataFrame:
+    """Long form: one row per input row and measure, with its bin."""
+    kept = [*map(name, keys), *[f"{expr} AS _t_{out}" for out, expr in totals.items()]]
+    slot = f"pmod(xxhash64({', '.join(map(name, keys))}), {GROUP_SLOTS})" if keys else "0L"
+    kept.append(f"{slot} AS _slot")
+    if len(cols) == 1:
+        measured = [f"{literal(cols[0])} AS _measure", f"CAST({name(cols[0])} AS double) AS _value"]
+        long = df.selectExpr(*kept, *measured)
     else:
-        long = wide.unpivot(kept, values, "_measure", "_value")
-    slot = F.pmod(F.xxhash64(*keys), F.lit(GROUP_SLOTS)) if keys else F.lit(0)
-    return long.withColumns({"_slot": slot, "_bin": _bin(F.col("_value"))})
-
-
-def _with_ranks(df: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Add how many values of the group come before this row, and how many there are."""
-    group = Window.partitionBy(*dims)
-    counted = F.when(F.col("_bin").isNotNull(), F.col("_rows")).otherwise(F.lit(0))
-    upto = group.orderBy("_bin", "_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("_valid", F.sum(counted).over(group)).withColumn(
-        "_before", F.sum(counted).over(upto) - counted
-    )
+        doubles = [f"CAST({name(c)} AS double) AS _m{i}" for i, c in enumerate(cols)]
+        pairs = ", ".join(f"{literal(c)}, _m{i}" for i, c in enumerate(cols))
+        ids = [*map(name, keys), *[f"_t_{out}" for out in totals], "_slot"]
+        wide = df.selectExpr(*kept, *doubles)
+        long = wide.selectExpr(*ids, f"stack({len(cols)}, {pairs}) AS (_measure, _value)")
+    return long.selectExpr("*", f"{BIN} AS _bin")
+
+
+def _ranked(dims: Sequence[str]) -> list[str]:
+    """Number of values in the row's group, and number of values before the row."""
+    group = f"PARTITION BY {', '.join(map(name, dims))}" if dims else ""
+    counted = "CASE WHEN _value IS NOT NULL THEN _rows ELSE 0L END"
+    upto = f"{group} ORDER BY _bin, _value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return [
+        f"sum({counted}) OVER ({group}) AS _valid",
+        f"sum({counted}) OVER ({upto}) - {counted} AS _before",
+    ]
 
 
-def _position(p: float) -> Column:
-    return (F.col("_valid") - 1) * F.lit(float(p))
+def _covers(rank: str) -> str:
+    return f"(_value IS NOT NULL AND _before <= {rank} AND {rank} < _before + _rows)"
 
 
-def _covers(rank: Column) -> Column:
-    return (
-        F.col("_bin").isNotNull()
-        & (F.col("_before") <= rank)
-        & (rank < F.col("_before") + F.col("_rows"))
-    )
+def _position(p: float) -> str:
+    return f"((_valid - 1) * {literal(float(p))})"
 
 
 def grouped_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     wanted: Mapping[str, tuple[str, float]],
-    totals: Mapping[str, Column] | None = None,
+    totals: Mapping[str, str] | None = None,
     method: str = "two_phase",
 ) -> DataFrame:
     """``keys``, row count ``n``, one column per wanted ``(column, p)`` and the totals.
 
-    ``totals`` are numeric expressions summed over each group in the same scans.
+    ``totals`` are numeric SQL expressions summed over each group in the same scans.
     Without keys there is exactly one row, also for empty input.
     ``method="exact"`` uses Spark's ``percentile``, which buffers each group's
     distinct values in one task: for small tables.
@@ -95,53 +92,46 @@ def grouped_percentiles(
     totals = dict(totals or {})
     if method == "exact":
         return df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.percentile(F.col(c).cast("double"), p).alias(out) for out, (c, p) in wanted.items()],
-            *[F.sum(c).alias(name) for name, c in totals.items()],
+            F.expr("count(1) AS n"),
+            *[F.expr(f"percentile(CAST({name(c)} AS double), {p}) AS {out}") for out, (c, p) in wanted.items()],
+            *[F.expr(f"sum({expr}) AS {out}") for out, expr in totals.items()],
         )
     if method != "two_phase":
         raise ValueError(f"unknown method: {method}")
 
     cols = list(dict.fromkeys(c for c, _ in wanted.values()))
-    positions = sorted({p for _, p in wanted.values()})
     long = _measures(df, keys, cols, totals)
     dims = [*keys, "_measure"] if len(cols) > 1 else list(keys)
-    cell = ["_measure", "_slot", "_bin"]
-    sums = [F.sum(f"_t_{name}").alias(f"_t_{name}") for name in totals]
-    rows = F.count(F.lit(1)).alias("_rows")
-
-    bins = long.groupBy(*keys, *cell).agg(
-        rows, F.min("_value").alias("_value"), F.max("_value").alias("_top"), *sums
-    )
-    ranks = [f(_position(p)) for p in positions for f in (F.floor, F.ceil)]
-    holds_rank = reduce(lambda a, b: a | b, [_covers(r) for r in ranks])
-    open_bins = F.broadcast(
-        _with_ranks(bins, dims).where(holds_rank & (F.col("_value") < F.col("_top"))).select(*cell).distinct()
+    counts = [F.expr("count(1) AS _rows"), *[F.expr(f"sum(_t_{out}) AS _t_{out}") for out in totals]]
+
+    bins = long.groupBy(*keys, *CELL).agg(F.expr("min(_value) AS _value"), F.expr("max(_value) AS _top"), *counts)
+    ends = [f"{f}({_position(p)})" for p in sorted({p for _, p in wanted.values()}) for f in ("floor", "ceil")]
+    open_bins = (
+        bins.selectExpr("*", *_ranked(dims))
+        .where(f"_value < _top AND ({' OR '.join(map(_covers, ends))})")
+        .select(*CELL)
+        .distinct()
+        .withColumn("_open", F.lit(True))
     )
-    settled = bins.drop("_top").join(open_bins, cell, "left_anti")
-    looked_into = long.join(open_bins, cell, "left_semi").groupBy(*keys, *cell, "_value").agg(rows, *sums)
-    steps = _with_ranks(settled.unionByName(looked_into), dims)
-
-    def at(rank: Column, col: str) -> Column:
-        return F.max(F.when((F.col("_measure") == f"_m_{col}") & _covers(rank), F.col("_value")))
-
-    first = F.col("_measure") == f"_m_{cols[0]}"
-    ends = {}
-    for i, (col, p) in enumerate(wanted.values()):
-        position = _position(p)
-        ends[f"_lo{i}"] = at(F.floor(position), col)
-        ends[f"_hi{i}"] = at(F.ceil(position), col)
-        ends[f"_fr{i}"] = F.max(F.when(F.col("_measure") == f"_m_{col}", position - F.floor(position)))
-    found = steps.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(first, F.col("_rows"))), F.lit(0)).alias("n"),
-        *[c.alias(name) for name, c in ends.items()],
-        *[F.sum(F.when(first, F.col(f"_t_{name}"))).alias(name) for name in totals],
+    steps = (
+        long.join(F.broadcast(open_bins), CELL, "left")
+        .groupBy(*keys, *CELL, F.expr("CASE WHEN _open THEN _value END AS _exact"))
+        .agg(F.expr("min(_value) AS _value"), *counts)
+        .selectExpr("*", *_ranked(dims))
     )
-    interpolated = [
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).alias(out)
-        for i, out in enumerate(wanted)
-    ]
-    return found.select(*keys, "n", *interpolated, *totals)
+
+    first = f"_measure = {literal(cols[0])}"
+    found, interpolated = [], []
+    for i, (out, (col, p)) in enumerate(wanted.items()):
+        of, position = f"_measure = {literal(col)}", _position(p)
+        for end, f in (("lo", "floor"), ("hi", "ceil")):
+            found.append(f"max(CASE WHEN {of} AND {_covers(f'{f}({position})')} THEN _value END) AS _{end}{i}")
+        found.append(f"max(CASE WHEN {of} THEN {position} - floor({position}) END) AS _part{i}")
+        interpolated.append(f"_lo{i} + (_hi{i} - _lo{i}) * _part{i} AS {out}")
+    found.append(f"coalesce(sum(CASE WHEN {first} THEN _rows END), 0L) AS n")
+    found += [f"sum(CASE WHEN {first} THEN _t_{out} END) AS {out}" for out in totals]
+    answer = steps.groupBy(*keys).agg(*map(F.expr, found))
+    return answer.selectExpr(*map(name, keys), "n", *interpolated, *totals)
 
 
 def two_phase_percentile(df: DataFrame, key: str, col: str, ps: Mapping[str, float]) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.functions.columns import avg_if, or_na, r6, text_round
+from paylens.functions.columns import avg_if, level_rank, or_na, r6, text_round
 from paylens.model import AGE_LEVELS, LOCAL, LOCALITIES, REMOTE, SENIORITY_LEVELS, SIZE_LEVELS, SKILLS
 from paylens.operators import cleaning, distribution, grouping, regression, skills
 from paylens.operators.filters import (
@@ -95,9 +95,8 @@ def salary_source_counts(spark, source, params=None) -> DataFrame:
 
 
 def market_kpis(spark, source, params=ALL_POSTINGS) -> DataFrame:
-    spread = F.col("sal_spread")
     wanted = {"median": (SALARY, 0.5), "q1": (SALARY, 0.25), "q3": (SALARY, 0.75)}
-    totals = {"_spread": spread, "_spreads": spread.isNotNull().cast("bigint")}
+    totals = {"_spread": "sal_spread", "_spreads": "CAST(sal_spread IS NOT NULL AS bigint)"}
     kpis = grouped_percentiles(_global(spark, source, params), [], wanted, totals)
     avg_spread = F.try_divide("_spread", "_spreads")
     return kpis.select("n", *[r6(F.col(c)).alias(c) for c in wanted], r6(avg_spread).alias("avg_spread"))
@@ -120,10 +119,9 @@ def role_share(spark, source, params=ALL_POSTINGS) -> DataFrame:
 
 
 def seniority_share(spark, source, params=ALL_POSTINGS) -> DataFrame:
-    medians = grouping.median_by(_global(spark, source, params), ["seniority", "seniority_rank"], SALARY)
-    return grouping.share_of_total(medians).select(
-        "seniority", "n", "median", "pct", "pct_1dp", F.col("seniority_rank").cast("bigint").alias("seniority_rank")
-    )
+    medians = grouping.median_by(_global(spark, source, params), "seniority", SALARY)
+    rank = level_rank("seniority", SENIORITY_LEVELS).cast("bigint")
+    return grouping.share_of_total(medians).withColumn("seniority_rank", rank)
 
 
 def seniority_median(spark, source, params=ALL_POSTINGS) -> DataFrame:
@@ -243,18 +241,18 @@ def skill_cooccurrence(spark, source, params=ALL_POSTINGS) -> DataFrame:
 # ---------------------------------------------------------------- companies
 
 
-def _median_by_level(df: DataFrame, col: str, rank: str) -> DataFrame:
+def _median_by_level(df: DataFrame, col: str, levels: list[str], rank: str) -> DataFrame:
     known = df.where(F.col(col).isNotNull())
-    medians = flag_max(grouping.median_by(known, [col, rank], SALARY), "median", "is_peak")
-    return medians.select(col, F.col(rank).cast("bigint").alias(rank), "median", "n", "is_peak")
+    medians = flag_max(grouping.median_by(known, col, SALARY), "median", "is_peak")
+    return medians.withColumn(rank, level_rank(col, levels).cast("bigint"))
 
 
 def salary_by_size(spark, source, params=ALL_COMPANIES) -> DataFrame:
-    return _median_by_level(_company(spark, source, params), "size", "size_rank")
+    return _median_by_level(_company(spark, source, params), "size", SIZE_LEVELS, "size_rank")
 
 
 def salary_by_age_group(spark, source, params=ALL_COMPANIES) -> DataFrame:
-    return _median_by_level(_company(spark, source, params), "age_group", "age_rank")
+    return _median_by_level(_company(spark, source, params), "age_group", AGE_LEVELS, "age_rank")
 
 
 def salary_by_ownership(spark, source, params=ALL_COMPANIES) -> DataFrame:
@@ -300,9 +298,8 @@ def rating_density(spark, source, params=ALL_COMPANIES) -> DataFrame:
 
 
 def profile_summary(spark, source, params=DEFAULT_PROFILE) -> DataFrame:
-    salary = F.col(SALARY)
     wanted = {"lo": ("min_salary", 0.5), "hi": ("max_salary", 0.5)}
-    totals = {"_salary": salary, "_salaries": salary.isNotNull().cast("bigint")}
+    totals = {"_salary": SALARY, "_salaries": f"CAST({SALARY} IS NOT NULL AS bigint)"}
     found = grouped_percentiles(_profile(spark, source, params), [], wanted, totals)
     avg = F.try_divide("_salary", "_salaries")
     return found.select("n", r6(avg).alias("avg"), r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"))

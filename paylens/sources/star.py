@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.functions.columns import case
-from paylens.model import SIZE_LEVELS
+from paylens.functions.columns import choose
+from paylens.model import RAW_COLUMNS, SIZE_LEVELS
+
+JOIN_KEYS = {
+    "nation": ["n_nationkey"],
+    "customer": ["c_custkey", "c_nationkey"],
+    "orders": ["o_orderkey", "o_custkey"],
+    "part": ["p_partkey"],
+    "supplier": ["s_suppkey", "s_nationkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"],
+}
+
+# The columns read. A given schema spares a job per table that would infer it.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "part": "p_partkey bigint, p_brand string, p_size int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+}
 
 # How the star tables are read as postings.
 TITLE_PREFIX = {
@@ -26,10 +46,37 @@ TITLE_BASE = [
     "Statistician",
     "VP, Data Science",
 ]
-
-
-def _choose(c: Column, values: dict) -> Column:
-    return case((c == value, label) for value, label in values.items())
+# Expressions of one table are evaluated there, once per row of the small table.
+COLUMNS = {
+    "nation": {"job_state": "concat(' ', n_name, ' ')"},
+    "customer": {
+        "ownership": "CASE c_custkey % 7 WHEN 0 THEN '-1' WHEN 1 THEN 'Unknown' ELSE c_mktsegment END",
+    },
+    "orders": {
+        "title_prefix": choose("o_orderpriority", TITLE_PREFIX),
+    },
+    "part": {
+        "title_base": choose("p_size % 8", dict(enumerate(TITLE_BASE))),
+        "sector": "CASE WHEN p_brand = 'Brand#1' THEN '-1' ELSE p_brand END",
+        "spark": "CAST(p_size % 4 = 0 AS int)",
+    },
+    "supplier": {
+        "company_name": "s_name",
+        "size": choose("CAST(s_suppkey % 9 AS int)", dict(enumerate([*SIZE_LEVELS, "Unknown", "-1"]))),
+    },
+    "lineitem": {
+        "min_salary": "l_extendedprice / 400 * (1 - l_discount)",
+        "max_salary": "l_extendedprice / 400 * (1 + l_tax + 0.05D)",
+        "rating": "CASE WHEN l_linenumber = 7 THEN -1D ELSE 1 + CAST(l_partkey % 41 AS double) / 10 END",
+        "age": "CAST(CASE WHEN l_linenumber = 6 THEN -1 ELSE l_partkey * 7 % 121 END AS double)",
+        "python_yn": "CAST(l_quantity >= 25 AS int)",
+        "r_yn": "CAST(l_quantity % 20 = 0 AS int)",
+        "aws": "CAST(l_linenumber <= 2 AS int)",
+        "excel": "CAST(l_discount >= 0.05D AS int)",
+        "employer_provided": "CAST(l_returnflag = 'A' AS int)",
+        "hourly": "CAST(l_linestatus = 'F' AS int)",
+    },
+}
 
 
 def postings_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,66 +84,27 @@ def postings_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The order side is joined to its customer first, so the line items, by far
     the largest table, are shuffled once per large key and never carry the
-    customer lookup. Only ``nation`` (one row per country) is marked for
-    broadcast; the other sides are broadcast by Spark only when their size is
-    below its threshold, else they are sort-merge joined with skew splitting.
+    customer lookup. Orders and line items both grow with the data and are
+    always merge joined. ``nation`` has one row per country and is marked for
+    broadcast. The other sides are broadcast by Spark only when their size is
+    below its threshold, else merge joined; adaptive execution splits hot keys.
     """
 
     def table(name):
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+        return rows.selectExpr(*JOIN_KEYS[name], *[f"{expr} AS {col}" for col, expr in COLUMNS[name].items()])
 
-    nation = table("nation").select(
-        F.col("n_nationkey").alias("c_nationkey"),
-        F.concat(F.lit(" "), "n_name", F.lit(" ")).alias("job_state"),
-    )
-    customer = table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    supplier = table("supplier").select("s_suppkey", "s_name", "s_nationkey")
-    part = table("part").select("p_partkey", "p_brand", "p_size")
-    orders = (
-        table("orders")
-        .select("o_orderkey", "o_custkey", "o_orderpriority")
-        .join(customer.join(F.broadcast(nation), "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    )
+    customer = table("customer").join(F.broadcast(table("nation")), F.expr("c_nationkey = n_nationkey"))
+    orders = table("orders").join(customer, F.expr("o_custkey = c_custkey"))
     rows = (
         table("lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    )
-
-    c = F.col
-    low = c("l_extendedprice") / 400 * (1 - c("l_discount"))
-    high = c("l_extendedprice") / 400 * (1 + c("l_tax") + F.lit(0.05))
-    flag = lambda cond: cond.cast("int")
-    return rows.select(
-        F.concat(
-            _choose(c("o_orderpriority"), TITLE_PREFIX),
-            _choose(c("p_size") % 8, dict(enumerate(TITLE_BASE))),
-        ).alias("job_title"),
-        low.alias("min_salary"),
-        high.alias("max_salary"),
-        ((low + high) / 2).alias("avg_salary"),
-        F.when(c("l_linenumber") == 7, F.lit(-1.0))
-        .otherwise(1 + (c("l_partkey") % 41).cast("double") / 10)
-        .alias("rating"),
-        F.when(c("l_linenumber") == 6, F.lit(-1))
-        .otherwise(c("l_partkey") * 7 % 121)
-        .cast("double")
-        .alias("age"),
-        F.when(c("p_brand") == "Brand#1", "-1").otherwise(c("p_brand")).alias("sector"),
-        _choose(c("l_suppkey") % 9, dict(enumerate([*SIZE_LEVELS, "Unknown", "-1"]))).alias("size"),
-        F.when(c("c_custkey") % 7 == 0, "-1")
-        .when(c("c_custkey") % 7 == 1, "Unknown")
-        .otherwise(c("c_mktsegment"))
-        .alias("ownership"),
-        c("job_state"),
-        flag(c("s_nationkey") == c("c_nationkey")).alias("same_state"),
-        flag(c("l_quantity") >= 25).alias("python_yn"),
-        flag(c("l_quantity") % 20 == 0).alias("r_yn"),
-        flag(c("p_size") % 4 == 0).alias("spark"),
-        flag(c("l_linenumber") <= 2).alias("aws"),
-        flag(c("l_discount") >= F.lit(0.05)).alias("excel"),
-        flag(c("l_returnflag") == "A").alias("employer_provided"),
-        flag(c("l_linestatus") == "F").alias("hourly"),
-        c("s_name").alias("company_name"),
+        .join(orders.hint("merge"), F.expr("l_orderkey = o_orderkey"))
+        .join(table("part"), F.expr("l_partkey = p_partkey"))
+        .join(table("supplier"), F.expr("l_suppkey = s_suppkey"))
     )
+    return rows.selectExpr(
+        "*",
+        "concat(title_prefix, title_base) AS job_title",
+        "(min_salary + max_salary) / 2 AS avg_salary",
+        "CAST(s_nationkey = c_nationkey AS int) AS same_state",
+    ).select(*RAW_COLUMNS)
