@@ -46,9 +46,8 @@ def choose(expr: str, values: dict) -> str:
 
 
 def first_match(col: str, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
-    """Label of the first rule one of whose substrings occurs in the lower-cased text."""
-    text = f"lower({name(col)})"
-    branches = ((" OR ".join(f"contains({text}, {literal(p)})" for p in parts), label) for label, parts in rules)
+    """Label of the first rule one of whose substrings occurs in the text."""
+    branches = ((" OR ".join(f"contains({name(col)}, {literal(p)})" for p in parts), label) for label, parts in rules)
     return F.expr(case(branches, default))
 
 

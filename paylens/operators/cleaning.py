@@ -36,7 +36,8 @@ def null_sentinels(df: DataFrame) -> DataFrame:
 
 def classify(df: DataFrame, col: str, rules, default: str, out: str) -> DataFrame:
     """Label text by the first rule with a substring in the lower-cased ``col``."""
-    return df.withColumn(out, first_match(col, rules, default))
+    lowered = df.withColumn("_text", F.lower(col))
+    return lowered.withColumn(out, first_match("_text", rules, default)).drop("_text")
 
 
 def ordered_domain(df: DataFrame, col: str, levels: Sequence[str], out: str) -> DataFrame:
@@ -67,11 +68,11 @@ def salary_source() -> Column:
 
 def derive(df: DataFrame) -> DataFrame:
     """Add the derived columns; expects nulled sentinels."""
-    df = df.withColumns(
+    df = df.withColumn("_title", F.lower("job_title")).withColumns(
         {
             "sal_spread": F.expr("max_salary - min_salary"),
-            "role": first_match("job_title", m.ROLE_RULES, m.ROLE_DEFAULT),
-            "seniority": first_match("job_title", m.SENIORITY_RULES, m.SENIORITY_DEFAULT),
+            "role": first_match("_title", m.ROLE_RULES, m.ROLE_DEFAULT),
+            "seniority": first_match("_title", m.SENIORITY_RULES, m.SENIORITY_DEFAULT),
             "age_group": band_of("age", m.AGE_EDGES, m.AGE_LEVELS),
             "locality": locality(),
             "sal_source": salary_source(),
@@ -83,7 +84,7 @@ def derive(df: DataFrame) -> DataFrame:
             "age_rank": level_rank("age_group", m.AGE_LEVELS),
         }
     )
-    return ordered_domain(df, "size", m.SIZE_LEVELS, "size_rank")
+    return ordered_domain(df.drop("_title"), "size", m.SIZE_LEVELS, "size_rank")
 
 
 def valid_postings(df: DataFrame) -> DataFrame:

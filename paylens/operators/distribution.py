@@ -18,10 +18,9 @@ def box_stats(df: DataFrame, key: str, groups: Sequence[str], measure: str, meth
     the box and never end inside it. The fences joined back to the rows are one
     row per listed group, so their broadcast has a known size.
     """
-    rows = df.where(F.col(key).isin(list(groups))).select(key, F.col(measure).alias("_x"))
-    quartiles = grouped_percentiles(
-        rows, [key], {"q1": ("_x", 0.25), "median": ("_x", 0.5), "q3": ("_x", 0.75)}, method=method
-    )
+    rows = df.select(key, F.col(measure).alias("_x"))
+    wanted = {"q1": ("_x", 0.25), "median": ("_x", 0.5), "q3": ("_x", 0.75)}
+    quartiles = grouped_percentiles(rows, [key], wanted, method=method).where(F.col(key).isin(list(groups)))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = quartiles.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
     inside = F.when(F.col("_x").between(F.col("_low"), F.col("_high")), F.col("_x"))

@@ -29,33 +29,34 @@ from paylens.functions.columns import literal, name
 BINS_PER_OCTAVE = 256
 FINEST_UNIT = 2**-20  # below this magnitude bins get wider, relative to the value
 GROUP_SLOTS = 256
-NULL_BIN = "-9223372036854775807L"
-
-CELL = ["_measure", "_slot", "_bin"]
+BIN_LIMIT = 2**19  # above the bin number of the largest double
+NULL_BIN = -BIN_LIMIT
 
 # A bin number that never decreases as the value grows.
-BIN = (
-    f"coalesce(floor(signum(_value) * log1p(abs(_value) * {1 / FINEST_UNIT}D) * {BINS_PER_OCTAVE / log(2)}D), {NULL_BIN})"
-)
+LOG_VALUE = f"least(log1p(abs(_value) * {1 / FINEST_UNIT}D), 1000D)"
+BIN = f"coalesce(CAST(floor(signum(_value) * {LOG_VALUE} * {BINS_PER_OCTAVE / log(2)}D) AS int), {NULL_BIN})"
 
 
 def _measures(df: DataFrame, keys: Sequence[str], cols: Sequence[str], totals: Mapping[str, str]) -> DataFrame:
-    """Long form: one row per input row and measure, with its bin."""
+    """Long form: one row per input row and measure (by position in ``cols``), with its bin."""
     kept = [*map(name, keys), *[f"{expr} AS _t_{out}" for out, expr in totals.items()]]
-    slot = f"pmod(xxhash64({', '.join(map(name, keys))}), {GROUP_SLOTS})" if keys else "0L"
-    kept.append(f"{slot} AS _slot")
     if len(cols) == 1:
-        measured = [f"{literal(cols[0])} AS _measure", f"CAST({name(cols[0])} AS double) AS _value"]
-        long = df.selectExpr(*kept, *measured)
+        long = df.selectExpr(*kept, f"CAST({name(cols[0])} AS double) AS _value")
     else:
-        doubles = [f"CAST({name(c)} AS double) AS _m{i}" for i, c in enumerate(cols)]
-        pairs = ", ".join(f"{literal(c)}, _m{i}" for i, c in enumerate(cols))
-        ids = [*map(name, keys), *[f"_t_{out}" for out in totals], "_slot"]
-        wide = df.selectExpr(*kept, *doubles)
-        long = wide.selectExpr(*ids, f"stack({len(cols)}, {pairs}) AS (_measure, _value)")
+        wide = df.selectExpr(*kept, *[f"CAST({name(c)} AS double) AS _m{i}" for i, c in enumerate(cols)])
+        pairs = ", ".join(f"{i}, _m{i}" for i in range(len(cols)))
+        stacked = f"stack({len(cols)}, {pairs}) AS (_measure, _value)"
+        long = wide.selectExpr(*map(name, keys), *[f"_t_{out}" for out in totals], stacked)
     return long.selectExpr("*", f"{BIN} AS _bin")
 
 
+def _cell(keys: Sequence[str], many: bool) -> str:
+    """One number for (group slot, measure, bin), of which there is a bounded count."""
+    slot = f"pmod(xxhash64({', '.join(map(name, keys))}), {GROUP_SLOTS})" if keys else "0L"
+    measure = f"({slot} * 1024 + _measure)" if many else slot
+    return f"{measure} * {2 * BIN_LIMIT} + _bin AS _cell"
+
+
 def _ranked(dims: Sequence[str]) -> list[str]:
     """Number of values in the row's group, and number of values before the row."""
     group = f"PARTITION BY {', '.join(map(name, dims))}" if dims else ""
@@ -100,34 +101,37 @@ def grouped_percentiles(
         raise ValueError(f"unknown method: {method}")
 
     cols = list(dict.fromkeys(c for c, _ in wanted.values()))
+    many = len(cols) > 1
     long = _measures(df, keys, cols, totals)
-    dims = [*keys, "_measure"] if len(cols) > 1 else list(keys)
+    dims = [*keys, "_measure"] if many else list(keys)
     counts = [F.expr("count(1) AS _rows"), *[F.expr(f"sum(_t_{out}) AS _t_{out}") for out in totals]]
 
-    bins = long.groupBy(*keys, *CELL).agg(F.expr("min(_value) AS _value"), F.expr("max(_value) AS _top"), *counts)
+    bins = long.groupBy(*dims, "_bin").agg(F.expr("min(_value) AS _value"), F.expr("max(_value) AS _top"), *counts)
     ends = [f"{f}({_position(p)})" for p in sorted({p for _, p in wanted.values()}) for f in ("floor", "ceil")]
     open_bins = (
         bins.selectExpr("*", *_ranked(dims))
         .where(f"_value < _top AND ({' OR '.join(map(_covers, ends))})")
-        .select(*CELL)
+        .selectExpr(_cell(keys, many))
         .distinct()
         .withColumn("_open", F.lit(True))
     )
     steps = (
-        long.join(F.broadcast(open_bins), CELL, "left")
-        .groupBy(*keys, *CELL, F.expr("CASE WHEN _open THEN _value END AS _exact"))
+        long.selectExpr("*", _cell(keys, many))
+        .join(F.broadcast(open_bins), "_cell", "left")
+        .groupBy(*dims, "_bin", F.expr("CASE WHEN _open THEN _value END AS _exact"))
         .agg(F.expr("min(_value) AS _value"), *counts)
         .selectExpr("*", *_ranked(dims))
     )
 
-    first = f"_measure = {literal(cols[0])}"
     found, interpolated = [], []
     for i, (out, (col, p)) in enumerate(wanted.items()):
-        of, position = f"_measure = {literal(col)}", _position(p)
+        of = f"_measure = {cols.index(col)}" if many else "true"
+        position = _position(p)
         for end, f in (("lo", "floor"), ("hi", "ceil")):
             found.append(f"max(CASE WHEN {of} AND {_covers(f'{f}({position})')} THEN _value END) AS _{end}{i}")
         found.append(f"max(CASE WHEN {of} THEN {position} - floor({position}) END) AS _part{i}")
         interpolated.append(f"_lo{i} + (_hi{i} - _lo{i}) * _part{i} AS {out}")
+    first = "_measure = 0" if many else "true"
     found.append(f"coalesce(sum(CASE WHEN {first} THEN _rows END), 0L) AS n")
     found += [f"sum(CASE WHEN {first} THEN _t_{out} END) AS {out}" for out in totals]
     answer = steps.groupBy(*keys).agg(*map(F.expr, found))
