@@ -24,16 +24,13 @@ def box_stats(df: DataFrame, key: str, groups: Sequence[str], measure: str, meth
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = quartiles.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
     inside = F.when(F.col("_x").between(F.col("_low"), F.col("_high")), F.col("_x"))
-    ends = (
-        rows.join(F.broadcast(fences.select(key, "_low", "_high")), key)
-        .groupBy(key)
-        .agg(
-            F.min(inside).alias("_min"),
-            F.max(inside).alias("_max"),
-            F.count_if((F.col("_x") < F.col("_low")) | (F.col("_x") > F.col("_high"))).alias("n_outliers"),
-        )
+    outside = (F.col("_x") < F.col("_low")) | (F.col("_x") > F.col("_high"))
+    box = (
+        rows.join(F.broadcast(fences), key)
+        .groupBy(key, "n", "q1", "median", "q3")
+        .agg(F.min(inside).alias("_min"), F.max(inside).alias("_max"), F.count_if(outside).alias("n_outliers"))
     )
-    return quartiles.join(F.broadcast(ends), key).select(
+    return box.select(
         key,
         "n",
         *[r6(F.col(c)).alias(c) for c in ("q1", "median", "q3")],

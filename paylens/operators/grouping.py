@@ -43,7 +43,9 @@ def share_by(df: DataFrame, key: str) -> DataFrame:
     return share_of_total(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
 
 
-def filter_domains(df: DataFrame, cols: Mapping[str, tuple[str, str]], fixed: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
+def filter_domains(
+    df: DataFrame, cols: Mapping[str, tuple[str, str]], fixed: Mapping[str, tuple[str, Sequence[str]]]
+) -> DataFrame:
     """Choices offered for each filter: ``domain, value, pos``.
 
     ``cols`` maps a domain to its column and the choice put in front of the

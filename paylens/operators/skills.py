@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,14 +75,21 @@ def cooccurrence(df: DataFrame, skills: Mapping[str, str]) -> DataFrame:
     )
 
 
-def skill_gap(df: DataFrame, matches: Column, held: tuple[str, ...], skills: Mapping[str, str], measure: str, min_n: int) -> DataFrame:
+def missing_skills(held: Sequence[str], skills: Mapping[str, str]) -> list[tuple[int, str]]:
+    """Position and flag column of each skill that is not held."""
+    return [(i, s) for i, s in enumerate(skills, 1) if s not in held]
+
+
+def skill_gap(
+    df: DataFrame, matches: Column, held: Sequence[str], skills: Mapping[str, str], measure: str, min_n: int
+) -> DataFrame:
     """What the postings asking for each missing skill pay above the baseline.
 
     The baseline is the mean of the matching postings, or of all postings when
     fewer than ``min_n`` match. ``skill, skill_pos, gain, dir, baseline``; no
     rows when all skills are held.
     """
-    missing = [(i, s) for i, s in enumerate(skills, 1) if s not in held]
+    missing = missing_skills(held, skills)
     x = F.col(measure)
     one_row = df.agg(
         F.when(F.count_if(matches) >= min_n, avg_if(matches, x)).otherwise(F.avg(x)).alias("baseline"),

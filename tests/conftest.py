@@ -10,6 +10,6 @@ from paylens.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session(8, **{"spark.sql.shuffle.partitions": "4", "spark.sql.maxMetadataStringLength": "10000"})
     yield session
     session.stop()
