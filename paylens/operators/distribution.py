@@ -59,13 +59,10 @@ def histogram(df: DataFrame, col: str, bins: int, min_n: int) -> DataFrame:
     origin = F.when(w > 0, w / 2 + F.floor((F.col("_low") - w / 2) / w) * w).otherwise(F.col("_low"))
     span = span.withColumn("_origin", origin)
 
-    number = F.ceil((F.col("_x") - F.col("_origin")) / F.col("_w")) - 1
-    placed = F.when(F.col("_w") > 0, F.least(F.greatest(number, F.lit(0)), F.lit(bins - 1))).otherwise(F.lit(0))
-    counts = (
-        values.crossJoin(F.broadcast(span.select("_origin", "_w")))
-        .groupBy(placed.cast("bigint").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    grid_of = span.select(F.struct("_origin", "_w")).scalar()
+    number = F.ceil((F.col("_x") - grid_of["_origin"]) / grid_of["_w"]) - 1
+    placed = F.when(grid_of["_w"] > 0, F.least(F.greatest(number, F.lit(0)), F.lit(bins - 1))).otherwise(F.lit(0))
+    counts = values.groupBy(placed.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     last = F.when(w > 0, F.lit(bins - 1)).otherwise(F.lit(0)).cast("bigint")
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     return grid.join(counts, "bin", "left").select(

@@ -59,12 +59,13 @@ def _cell(keys: Sequence[str], many: bool) -> str:
 
 def _ranked(dims: Sequence[str]) -> list[str]:
     """Number of values in the row's group, and number of values before the row."""
-    group = f"PARTITION BY {', '.join(map(name, dims))}" if dims else ""
     counted = "CASE WHEN _value IS NOT NULL THEN _rows ELSE 0L END"
-    upto = f"{group} ORDER BY _bin, _value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    group = f"PARTITION BY {', '.join(map(name, dims))} " if dims else ""
+    # One order for both, so that one sort serves them.
+    rows = f"{group}ORDER BY _bin, _value ROWS BETWEEN UNBOUNDED PRECEDING AND"
     return [
-        f"sum({counted}) OVER ({group}) AS _valid",
-        f"sum({counted}) OVER ({upto}) - {counted} AS _before",
+        f"sum({counted}) OVER ({rows} UNBOUNDED FOLLOWING) AS _valid",
+        f"sum({counted}) OVER ({rows} CURRENT ROW) - {counted} AS _before",
     ]
 
 
@@ -111,10 +112,10 @@ def grouped_percentiles(
     open_bins = (
         bins.selectExpr("*", *_ranked(dims))
         .where(f"_value < _top AND ({' OR '.join(map(_covers, ends))})")
-        .selectExpr(_cell(keys, many))
-        .distinct()
-        .withColumn("_open", F.lit(True))
+        .selectExpr(_cell(keys, many), "true AS _open")
     )
+    if keys:  # else no two rows can share a cell
+        open_bins = open_bins.distinct()
     steps = (
         long.selectExpr("*", _cell(keys, many))
         .join(F.broadcast(open_bins), "_cell", "left")

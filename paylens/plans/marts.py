@@ -276,22 +276,21 @@ def rating_fit_band(spark, source, params=ALL_COMPANIES) -> DataFrame:
     return band.select(*[r6(F.col(c)).alias(c) for c in band.columns])
 
 
-def _enough_rows(df: DataFrame, at_least: int) -> DataFrame:
-    """One row if ``df`` has that many rows, else none; reads no further than needed."""
-    return require_rows(df.select(F.lit(1)).limit(at_least).agg(F.count(F.lit(1)).alias("n")), at_least).drop("n")
+def _has_rows(df: DataFrame, at_least: int) -> Column:
+    """Does ``df`` have that many rows? A subquery that reads no further than needed."""
+    return df.select(F.lit(1)).limit(at_least).agg(F.count(F.lit(1))).scalar() >= at_least
 
 
 def rating_points(spark, source, params=ALL_COMPANIES) -> DataFrame:
     """One row per rated posting: to be written, not collected."""
     rated = _rated(spark, source, params)
-    points = rated.select("company_name", "rating", SALARY, "role")
-    return points.crossJoin(F.broadcast(_enough_rows(rated, MIN_FOR_RATING)))
+    return rated.where(_has_rows(rated, MIN_FOR_RATING)).select("company_name", "rating", SALARY, "role")
 
 
 def rating_density(spark, source, params=ALL_COMPANIES) -> DataFrame:
     rated = _rated(spark, source, params)
     cells = distribution.density(rated, "rating", 0.1, SALARY, 10.0, "rating_bin", "salary_bin")
-    return cells.crossJoin(F.broadcast(_enough_rows(rated, MIN_FOR_RATING)))
+    return cells.where(_has_rows(rated, MIN_FOR_RATING))
 
 
 # ---------------------------------------------------------------- profile
