@@ -8,7 +8,7 @@ stored it, which pays off when many results are wanted from one input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paylens.functions.columns import avg_if, level_rank, or_na, r6, text_round
@@ -290,7 +290,8 @@ def rating_points(spark, source, params=ALL_COMPANIES) -> DataFrame:
 def rating_density(spark, source, params=ALL_COMPANIES) -> DataFrame:
     rated = _rated(spark, source, params)
     cells = distribution.density(rated, "rating", 0.1, SALARY, 10.0, "rating_bin", "salary_bin")
-    return cells.where(_has_rows(rated, MIN_FOR_RATING))
+    counted = cells.withColumn("_rated", F.sum("n").over(Window.partitionBy()))
+    return require_rows(counted, MIN_FOR_RATING, "_rated").drop("_rated")
 
 
 # ---------------------------------------------------------------- profile
