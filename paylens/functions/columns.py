@@ -11,11 +11,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Unicode white-space characters.
-WHITE_SPACE = (
-    "\t\n\x0b\x0c\r \x85\xa0 "
-    "           "
-    "    　"
+# The code points of the Unicode white-space characters.
+WHITE_SPACE = "".join(
+    map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
 
 

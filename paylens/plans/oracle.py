@@ -426,10 +426,6 @@ FROM pairs WHERE n >= 10""",
             + _gap(("python_yn", "spark")),
             body="",
         ),
-        "skill_gap__all_skills": _sql(
-            body="""SELECT '' AS skill, avg_salary AS gain, '' AS dir, avg_salary AS baseline,
-  cast(0 AS bigint) AS pos FROM d WHERE false"""
-        ),
         "kpi_labels": _sql(GLOBAL, PROFILE, STATS + LABELS, body=""),
         "salary_quantiles_two_phase": _sql(
             GLOBAL,

@@ -57,7 +57,7 @@ def test_empty_input(spark, postings, name):
     mart = name.split("__")[0]
     if mart in one_row:
         assert len(rows) == 1
-    elif mart == "skill_gap" and name != "skill_gap__all_skills":
+    elif mart == "skill_gap":
         assert all(r["gain"] is None and r["dir"] is None and r["baseline"] is None for r in rows)
     elif mart == "filter_domains":
         assert {r["domain"] for r in rows} == {

@@ -22,8 +22,8 @@ def frame(spark, groups):
     return spark.createDataFrame(rows, "k string, x double")
 
 
-def check_quantiles(spark, groups):
-    found = {r["k"]: r for r in grouped_percentiles(frame(spark, groups), ["k"], PS).collect()}
+def check_quantiles(spark, groups, levels):
+    found = {r["k"]: r for r in grouped_percentiles(frame(spark, groups), ["k"], PS, levels=levels).collect()}
     assert set(found) == set(groups)
     for k, values in groups.items():
         known = [v for v in values if v is not None]
@@ -39,7 +39,8 @@ def test_quantiles_by_hand(spark):
     assert (out["a"], out["b"], out["c"]) == (1.75, 3.0, 5.5)
 
 
-def test_quantiles_of_all_shapes(spark):
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_quantiles_of_all_shapes(spark, levels):
     rng = random.Random(7)
     check_quantiles(
         spark,
@@ -58,9 +59,16 @@ def test_quantiles_of_all_shapes(spark):
             "ties": [float(rng.randint(1, 5)) for _ in range(1000)],
             "skew": [rng.paretovariate(1.1) for _ in range(1500)],
         },
+        levels,
     )
 
 
+def test_quantiles_of_infinities(spark):
+    inf = float("inf")
+    row = grouped_percentiles(frame(spark, {"a": [-inf, 1.0, inf]}), ["k"], PS).collect()[0]
+    assert [row[c] for c in ("lo", "q1", "median", "q3", "hi")] == [-inf, -inf, 1.0, inf, inf]
+
+
 def test_quantiles_when_one_group_holds_most_rows(spark):
     hot = spark.range(200_000).selectExpr("'hot' AS k", "CAST(id * 7919 % 200000 AS double) / 7 AS x")
     cold = spark.range(100).selectExpr("concat('k', id % 50) AS k", "CAST(id AS double) AS x")
@@ -97,9 +105,28 @@ def test_quantiles_of_nothing(spark, wanted):
     assert grouped_percentiles(empty, ["k"], wanted).collect() == []
 
 
-def test_unknown_method(spark):
-    with pytest.raises(ValueError):
-        grouped_percentiles(frame(spark, {"a": [1.0]}), ["k"], PS, method="guess")
+def test_unknown_method_or_levels(spark):
+    df = frame(spark, {"a": [1.0]})
+    for wrong in ({"method": "guess"}, {"levels": 4}):
+        with pytest.raises(ValueError):
+            grouped_percentiles(df, ["k"], PS, **wrong)
+
+
+def test_levels_by_setting(spark):
+    """Close values share a bin; each further level looks into fewer of them."""
+    df = frame(spark, {"a": [100 + i * 1e-5 for i in range(5000)]})
+    spark.conf.set("spark.paylens.quantile.levels", "2")
+    try:
+        by_setting = grouped_percentiles(df, ["k"], {"m": ("x", 0.5)})
+    finally:
+        spark.conf.unset("spark.paylens.quantile.levels")
+    assert by_setting.collect()[0]["m"] == pytest.approx(100 + 2499.5e-5, rel=1e-14)
+
+    def lookups(levels):
+        plan = grouped_percentiles(df, ["k"], {"m": ("x", 0.5)}, levels=levels)
+        return plan._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+    assert lookups(2) > lookups(1)
 
 
 def test_quantile_plan_has_no_value_buffer_and_no_python(spark):
