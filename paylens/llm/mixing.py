@@ -4,7 +4,7 @@ Targets: sources share the total size by weight; a target stops at `most` times
 shared anew by weight. Every document then expects target / source size copies. The whole part is allocated for
 certain. The fraction f is an inclusion probability: documents get the ranking number q = (u / (1-u)) / (f / (1-f))
 from a uniform u, and those with the smallest q are taken until the source's remaining size is filled, which is a
-sample of fixed size. u is derived from doc_id, so reruns agree.
+sample of fixed size in words. u is derived from doc_id, so reruns agree.
 
 The sum over the ranking is not made by sorting a source: sizes are added up in bins of q (map-side combined), the
 bin in which the remaining size is reached is found among the bins, and only rows of that bin are sorted.
@@ -20,7 +20,9 @@ from paylens.llm.common import WORD, written
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BINS = 4096
+FILLS = 3
 SEED = "mix-1"
+_KEYS = "array<struct<q:double,doc_id:bigint,size:bigint,h:bigint>>"
 _ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -40,6 +42,12 @@ def _rank(u: Column, f: Column) -> Column:
     return u / (1 - u) / (f / (1 - f))
 
 
+def _is_in(row: Column, last: Column, q_edge: Column, fillers: Column) -> Column:
+    """Whether a row (q, doc_id, size, h) is ranked up to the last that fits (if none of the edge bin fits, below it), or fills."""
+    ranked = F.when(last.isNotNull(), row <= last).otherwise(row["q"] < q_edge)
+    return F.coalesce(ranked | F.array_contains(fillers, row), F.lit(False))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """sizes (source, source_size) with weight and target.
 
@@ -77,9 +85,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int = BINS, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target, copies and taken (= copies * size), replacing columns of these names.
 
-    Documents without words have copies 0. A null source is one source. Documents of equal rank are ordered by
-    doc_id, size and text hash; the document at which a source's size is reached is in if that brings the sum nearer.
-    A source's taken words so differ from its target by at most half of one document. Empty input gives no rows.
+    Documents without words take 0 words. A null source is one source. Documents of equal rank are ordered by doc_id,
+    size and text hash; rows equal in all of these are taken alike. The documents that fit in order are in; then up
+    to FILLS of those left whose sizes are nearest to the open gap, as long as they narrow it. Empty input gives no rows.
     """
     base = docs.drop(*_ADDED).withColumn("size", word_count(F.col("text")))
     rank_key = [F.col("doc_id"), F.col("size"), F.xxhash64("text").alias("h")]
@@ -108,26 +116,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
         .select(F.col("_s").alias("_t"), F.col("bin").alias("edge"), "below")
     )
     edge = written(edge, "mix-edges")
-    tuples = (
-        ranked.join(edge, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("bin") == F.col("edge")))
-        .groupBy("_s", "q", "doc_id", "size", "h")
-        .agg(F.sum("size").alias("s"), F.first("rest").alias("rest"), F.first("below").alias("below"))
-    )
-    order = Window.partitionBy("_s").orderBy("q", "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
-    sum_before = F.col("below") + F.coalesce(F.sum("s").over(order), F.lit(0))
+    in_edge = ranked.join(edge, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("bin") == F.col("edge")))
+    key = F.struct("q", "doc_id", "size", "h")
+    total = F.col("below") + F.sum("size").over(Window.partitionBy("_s").orderBy(key).rangeBetween(Window.unboundedPreceding, 0))
+    fits = F.col("total") <= F.col("rest")
     last = (
-        tuples.withColumn("before", sum_before)
-        .withColumn("in", F.expr("before < rest AND before + s - rest <= rest - before"))
+        in_edge.withColumn("total", total)
         .groupBy("_s")
-        # No row of the edge bin in: the sample ends before it.
-        .agg(F.max(F.when(F.col("in"), F.struct("q", "doc_id", "size", "h"))).alias("last"), F.min("q").alias("q_edge"))
-    )
-    plan = goal.join(last.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t")), "left").select(
-        "_s", "source_size", "target", "whole", "f", "last", "q_edge"
+        .agg(
+            F.max(F.when(fits, key)).alias("last"),
+            F.min("q").alias("q_edge"),
+            (F.first("rest") - F.coalesce(F.max(F.when(fits, F.col("total"))), F.first("below"))).alias("gap"),
+        )
+        .withColumnRenamed("_s", "_t")
     )
+    # The document after the last one that fits would overshoot. Of all that are left, the one whose size is nearest to
+    # the open gap fills it, if that is nearer than leaving it open; this is done a fixed number of times.
+    plan = last.withColumn("fillers", F.array().cast(_KEYS))
+    for _ in range(FILLS):
+        plan = written(plan, "mix-last")
+        left = ranked.join(plan, F.col("_s").eqNullSafe(F.col("_t")))
+        left = left.filter(~_is_in(key, F.col("last"), F.col("q_edge"), F.col("fillers")))
+        off = F.abs(F.col("size") - F.col("gap"))
+        best = left.groupBy("_s").agg(F.min(F.when(off < F.abs("gap"), F.struct(off.alias("off"), key.alias("row")))).alias("best"))
+        plan = plan.join(best, F.col("_t").eqNullSafe(F.col("_s")), "left").select(
+            "_t", "last", "q_edge",
+            F.when(F.col("best").isNull(), F.col("gap")).otherwise(F.col("gap") - F.col("best.row.size")).alias("gap"),
+            F.when(F.col("best").isNull(), F.col("fillers")).otherwise(F.concat("fillers", F.array("best.row"))).alias("fillers"),
+        )
+    plan = goal.join(plan, F.col("_s").eqNullSafe(F.col("_t")), "left")
+    plan = plan.select("_s", "source_size", "target", "whole", "f", "last", "q_edge", "fillers")
     plan = written(plan, "mix-plan")
     row = F.struct(_rank(uniform(F.col("doc_id"), seed), F.col("f")).alias("q"), *rank_key)
-    more = F.coalesce(F.when(F.col("last").isNotNull(), row <= F.col("last")).otherwise(row["q"] < F.col("q_edge")), F.lit(False))
+    more = _is_in(row, F.col("last"), F.col("q_edge"), F.col("fillers"))
     copies = F.col("whole") + F.when(F.col("f") > 0, more.cast("long")).otherwise(0)
     return (
         base.join(plan, F.col("source").eqNullSafe(F.col("_s")))
