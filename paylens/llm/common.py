@@ -95,7 +95,7 @@ class RollingHash:
 
     def _grow(self, n: int) -> None:
         if len(self.power) < n:
-            n = max(n, 1 << 16)
+            n = max(n, 2 * len(self.power), 1 << 16)
             full = lambda b: np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b % 2**64, np.uint64)], dtype=np.uint64)
             self.power, self.inverse = full(self.base), full(pow(self.base, -1, 2**64))
 

@@ -3,7 +3,7 @@
 A full suffix array would move every position of the corpus. Here a pass moves only what the pass before left in groups
 of two or more, and the first digit is read at anchors only: in each window of `threshold` bytes the anchor is the
 position whose GRAM bytes have the smallest hash (of equals, the first). Equal windows have equal anchors at equal
-places, so no repeat is missed, and about one position in eighty is an anchor.
+places, so no repeat is missed, and about one position in fifty is an anchor.
 
 1. First digit: the GRAM bytes at an anchor. Anchors whose digit occurs once are dropped: no window of theirs repeats.
 2. Second digit: all windows of an anchor at once, i.e. the bytes that they cover. Where it is equal for two anchors,
@@ -12,8 +12,9 @@ places, so no repeat is missed, and about one position in eighty is an anchor.
    exactly the repeated windows.
 
 All windows of an anchor contain it, so their repeated ones cover one run: from the first such window to the last.
-Digits travel as hashes (64 bits for a digit that is verified by the next, 128 for windows). Hot groups are counted on the
-map side and joined, never gathered.
+Digits travel as hashes (64 bits where the next digit verifies them, 96 for windows), sorted within partitions by
+the first digit and compared with their neighbours. Equal second digits of one batch are settled before the shuffle,
+so that copies, however many, do not meet in one partition. Texts are shuffled once, compressed.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paylens.llm.common import map_in_arrow, mix64, RollingHash, written
 
 THRESHOLD = 200
-GRAM = 32
+GRAM = 96
 #: Bytes handled at once; positions in them take 20 bits.
 CHUNK = 1 << 20
 
@@ -109,100 +111,138 @@ def _bytes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("mark"), text.cast("binary").alias("bytes"))
 
 
-def _anchors(docs: DataFrame, threshold: int) -> DataFrame:
-    """(g, c, doc_id, mark, place, shape): first and second digit of every anchor; place is its first window, shape its
-    last window's distance.
+def _anchors(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
+    """(key, c, doc_id, mark, spot): first and second digit of every anchor.
+
+    spot packs, as few bytes as a shuffle can have, the anchor's first window, the distance of its last one (10 bits) and a
+    weight (2 bits). Of equal second digits in a batch, one row has weight 2; the others, weight 0, need no comparison
+    and have a key of their own.
     """
-    schema = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("place", pa.int32()), ("more", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("spot", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = _buffers(batch["bytes"])
+            found = [np.zeros((5, 0), np.int64)]
             for text, start, end in _chunks(offsets, threshold):
                 buf = np.concatenate([data[a:b] for a, b in zip(start, end)])
                 stops = np.cumsum(end - start)
                 starts = stops - (end - start)
-                of, _, first, last, g, c = anchors_of(buf, starts, stops, threshold)
-                rows = pa.array(text[of])
-                place = first - starts[of] + start[of] - offsets[text[of]]
-                columns = [pa.array(g), pa.array(c), batch["doc_id"].take(rows), batch["mark"].take(rows)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(place.astype(np.int32)), pa.array((last - first).astype(np.int32))], schema=schema)
+                of, _, first, last, g, c = anchors_of(buf, starts, stops, threshold, gram)
+                found.append(np.array([g, c, text[of], first - starts[of] + start[of] - offsets[text[of]], last - first]))
+            g, c, row, place, more = np.concatenate(found, axis=1)
+            _, first, back, count = np.unique(c, return_index=True, return_inverse=True, return_counts=True)
+            weight = np.zeros(len(c), np.int64)
+            weight[first] = np.minimum(count, 2)
+            g = np.where(weight > 0, g, mix64((c + place * 31 + batch["mark"].to_numpy()[row]).view(np.uint64)).view(np.int64))
+            rows = pa.array(row)
+            spot = pa.array(place << 12 | more << 2 | weight)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), batch["doc_id"].take(rows), batch["mark"].take(rows), spot], schema=schema)
 
-    return map_in_arrow(_bytes(docs), run, "g long, c long, doc_id long, mark int, place int, more int")
+    return map_in_arrow(_bytes(docs), run, "key long, c long, doc_id long, mark int, spot long")
 
 
-def _windows(contexts: DataFrame, threshold: int) -> DataFrame:
-    """(h1, h2, c, j): hash of the j-th window of each of contexts (c, covered)."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("c", pa.int64()), ("j", pa.int32())])
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, packed): the texts, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            offsets, data = _buffers(batch["covered"])
-            c = batch["c"].to_numpy()
-            for lo in range(0, len(c), 2048):  # a context has fewer than 2 * threshold bytes
-                part = offsets[lo : min(lo + 2048, len(c)) + 1]
-                buf = data[part[0] : part[-1]]
-                counts = np.diff(part) - threshold + 1
-                owner = np.repeat(np.arange(len(counts)), counts)
-                j = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = (part[:-1] - part[0])[owner] + j
-                h1, h2 = (mix64(r.of(p := r.prefix(buf), at, at + threshold)) for r in (_first, _second))
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(c[lo + owner]), pa.array(j.astype(np.int32))], schema=schema)
+            packed = pa.array([compress(x) for x in batch["bytes"].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], packed], names=["doc_id", "mark", "packed"])
+
+    # The filter drops nothing; with it both joins of the texts have the same input, which is then shuffled once.
+    return map_in_arrow(_bytes(docs), run, "doc_id long, mark int, packed binary").filter("mark IS NOT NULL")
 
-    return map_in_arrow(contexts.select("c", "covered"), run, "h1 long, h2 long, c long, j int")
+
+def _windows(texts: DataFrame, threshold: int) -> DataFrame:
+    """(h1, h2j, c): hash of the j-th window of each of the spots (c, place, more) of texts (packed, spots).
+
+    The hash has 96 bits: h1 and the bits of h2j above the lowest 16, which hold j.
+    """
+    schema = pa.schema([("h1", pa.int64()), ("h2j", pa.int64()), ("c", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for packed, spots in zip(batch["packed"].to_pylist(), batch["spots"].to_pylist()):
+                data = np.frombuffer(unpack(packed), np.uint8)
+                for lo in range(0, len(spots), 2048):  # a spot covers fewer than 2 * threshold bytes
+                    c, place, more = (np.array([s[k] for s in spots[lo : lo + 2048]]) for k in ("c", "place", "more"))
+                    owner = np.repeat(np.arange(len(c)), more + 1)
+                    j = np.arange(len(owner)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
+                    covered = np.concatenate([data[a : a + m + threshold] for a, m in zip(place, more)])
+                    at = (np.cumsum(more + threshold) - (more + threshold))[owner] + j
+                    h1, h2 = (mix64(r.of(r.prefix(covered), at, at + threshold)) for r in (_first, _second))
+                    h2j = (h2 >> np.uint64(32) << np.uint64(16)).view(np.int64) | j
+                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2j), pa.array(c[owner])], schema=schema)
+
+    return map_in_arrow(texts.select("packed", "spots"), run, "h1 long, h2j long, c long")
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
     return a.doc_id.eqNullSafe(b.doc_id) & (a.mark == b.mark)
 
 
-def repeated_runs(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, mark, start, end): runs of bytes whose windows of threshold bytes repeat; runs may overlap."""
-    if threshold < GRAM:
-        raise ValueError(f"threshold must be at least {GRAM}")
-    anchors = _anchors(docs, threshold)
-    live = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
-    kept = written(anchors.join(live, "g", "left_semi"), "anchors")
-
-    place = F.struct("doc_id", "mark", "place", "more")
-    digits = kept.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
-    digits = written(digits, "digits")
-    whole = kept.join(digits.filter("n > 1").select("g", "c"), ["g", "c"], "left_semi")
-    whole = whole.select("doc_id", "mark", F.col("place").alias("start"), (F.col("place") + F.col("more") + threshold).alias("end"))
-
-    shared = digits.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
-    single = digits.join(shared, "g", "left_semi").select("c", "n", "at.*")
-    spot = F.struct("c", "place", "more")
-    wanted = single.groupBy("doc_id", "mark").agg(F.collect_list(spot).alias("spots"))
-    data = _bytes(docs)
-    covered = F.substring(F.col("bytes"), F.col("s.place") + 1, F.col("s.more") + threshold)
-    contexts = (
-        data.join(wanted, _same(data, wanted)).select("bytes", F.explode("spots").alias("s"))
-        .select(F.col("s.c").alias("c"), covered.alias("covered")).groupBy("c").agg(F.first("covered").alias("covered"))
-    )
-    windows = _windows(written(contexts, "contexts"), threshold)
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    found = windows.join(twice, ["h1", "h2"], "left_semi").groupBy("c").agg(F.min("j").alias("lo"), F.max("j").alias("hi"))
-    part = single.filter("n = 1").join(found, "c")
+def _runs(docs: DataFrame, texts: DataFrame, threshold: int, gram: int) -> DataFrame:
+    if not gram <= threshold < 1024:
+        raise ValueError("gram <= threshold < 1024 must hold")
+    by_key = Window.partitionBy("key")
+    equal = lambda c, d: F.coalesce(c == d, F.lit(False))
+    c, weight = F.col("c"), F.col("spot").bitwiseAND(F.lit(3))
+    before, after = F.lag(c).over(by_key.orderBy("c")), F.lead(c).over(by_key.orderBy("c"))
+    several = F.min(c).over(by_key) != F.max(c).over(by_key)
+    live = (
+        _anchors(docs, threshold, gram)
+        .select("*", before.alias("before"), after.alias("after"), several.alias("several"))
+        .withColumn("whole", (weight != 1) | equal(c, F.col("before")) | equal(c, F.col("after")))
+        .withColumn("c", F.when((weight > 0) & F.col("several") & ~equal(c, F.col("before")), c))
+        .filter("whole OR c IS NOT NULL")
+        .select("c", "doc_id", "mark", F.expr("cast(spot >> 12 AS int)").alias("place"), F.expr("cast(spot >> 2 & 1023 AS int)").alias("more"), "whole")
+    )
+    # c is null where the anchor takes no part in the last pass.
+    live = written(live, "anchors")
+    end = F.col("place") + F.col("more") + threshold
+    whole = live.filter("whole").select("doc_id", "mark", F.col("place").alias("start"), end.alias("end"))
+
+    spots = live.filter("c IS NOT NULL")
+    wanted = spots.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("c", "place", "more")).alias("spots"))
+    windows = _windows(texts.join(wanted, _same(texts, wanted)), threshold)
+    order = Window.partitionBy("h1").orderBy("h2j")
+    h2 = lambda x: F.shiftright(x, 16)
+    again = equal(h2(F.col("h2j")), h2(F.lag("h2j").over(order))) | equal(h2(F.col("h2j")), h2(F.lead("h2j").over(order)))
+    j = F.expr("cast(h2j & 65535 AS int)")
+    found = windows.withColumn("again", again).filter("again").groupBy("c").agg(F.min(j).alias("lo"), F.max(j).alias("hi"))
+    part = spots.filter("NOT whole").join(found, "c")
     part = part.select("doc_id", "mark", (F.col("place") + F.col("lo")).alias("start"), (F.col("place") + F.col("hi") + threshold).alias("end"))
-    return written(whole.unionByName(part), "runs")
+    return whole.unionByName(part)
+
+
+def repeated_runs(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
+    """(doc_id, mark, start, end): runs of bytes covered by repeated windows of threshold bytes; runs may overlap.
+
+    mark is a hash of the text, for rows that share a doc_id.
+    """
+    return _runs(docs, _packed(docs), threshold, gram)
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary).
 
     A byte goes if a string of threshold bytes that covers it starts anywhere else too, in this text or another (judged
     on the input). Null text: empty. Repeated rows are texts of their own, so long ones go whole. A null doc_id is an
     id like others. Texts below threshold bytes stay. Empty input gives no rows.
     """
-    runs = repeated_runs(docs, threshold)
-    spans = runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    texts = _packed(docs)
+    spans = _runs(docs, texts, threshold, gram).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out: list[tuple] = []
-            for data, runs in zip(batch["bytes"].to_pylist(), batch["runs"].to_pylist()):
+            for packed, runs in zip(batch["packed"].to_pylist(), batch["runs"].to_pylist()):
+                data = unpack(packed)
                 merged: list[list[int]] = []
                 for r in sorted((r["start"], r["end"]) for r in runs or ()):
                     if merged and r[0] <= merged[-1][1]:
@@ -212,9 +252,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 edges = [0, *(x for m in merged for x in m), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out.append((len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-            columns = [pa.array(x, f.type) for x, f in zip(zip(*out), list(schema)[1:])] if out else [pa.array([], f.type) for f in list(schema)[1:]]
+            columns = [pa.array([r[k] for r in out], f.type) for k, f in enumerate(list(schema)[1:])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], schema=schema)
 
-    data = _bytes(docs)
-    joined = data.join(spans, _same(data, spans), "left").select(data.doc_id, "bytes", "runs")
+    joined = texts.join(spans, _same(texts, spans), "left").select(texts.doc_id, "packed", "runs")
     return map_in_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
