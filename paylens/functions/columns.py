@@ -6,6 +6,7 @@ JVM instead of one per branch.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -43,10 +44,25 @@ def choose(expr: str, values: dict) -> str:
     return f"try_element_at(map({pairs}), {expr})"
 
 
-def first_match(col: str, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
-    """Label of the first rule one of whose substrings occurs in the text."""
-    branches = ((" OR ".join(f"contains({name(col)}, {literal(p)})" for p in parts), label) for label, parts in rules)
-    return F.expr(case(branches, default))
+_LITERAL = re.compile(r"(?:[^\\.^$*+?{}\[\]|()]|\\\W)+")
+
+
+def pattern_test(col: str, pattern: str) -> str:
+    """SQL that is true if the regular expression occurs in the text; plain text is searched for as such."""
+    if _LITERAL.fullmatch(pattern):
+        return f"contains({name(col)}, {literal(re.sub(r'\\(.)', lambda m: m[1], pattern))})"
+    return f"rlike({name(col)}, {literal(pattern)})"
+
+
+def first_match(col: str, rules: Sequence[tuple[str, Sequence[str] | str]], default: str) -> Column:
+    """Label of the first rule that the text meets: a list of substrings of which one occurs, or a regular expression."""
+
+    def test(rule):
+        if isinstance(rule, str):
+            return pattern_test(col, rule)
+        return " OR ".join(f"contains({name(col)}, {literal(p)})" for p in rule)
+
+    return F.expr(case(((test(rule), label) for label, rule in rules), default))
 
 
 def level_rank(col: str, levels: Sequence[str]) -> Column:
@@ -75,12 +91,16 @@ def trim_space(col: str) -> Column:
 
 
 def to_number(col: str, is_text: bool, to: str = "double") -> Column:
-    """Number or null; never NaN, never an error."""
+    """Number or null; never NaN or infinite, never an error. As ``int``, a number that is not whole is null."""
     c = name(col)
     if is_text:
         # Java reads "12f" and "12d" as numbers; a data file does not mean that.
         c = f"CASE WHEN NOT rlike({c}, '[0-9.][dDfF][ \\\\t]*$') THEN {c} END"
-    return F.expr(f"CAST(nanvl(try_cast({c} AS double), NULL) AS {to})")
+    number = f"try_cast({c} AS double)"
+    finite = f"CASE WHEN abs({number}) < double('Infinity') THEN {number} END"  # NaN is above infinity
+    if to == "int":
+        return F.expr(f"CASE WHEN {finite} = floor({finite}) THEN try_cast({finite} AS int) END")
+    return F.expr(f"CAST({finite} AS {to})")
 
 
 def r6(c: Column) -> Column:

@@ -42,6 +42,7 @@ SKILLS = {
 }
 
 FLAG_COLUMNS = ["same_state", *SKILLS, "employer_provided", "hourly"]
+OPTIONAL_COLUMNS = ["employer_provided", "hourly"]
 RAW_COLUMNS = [*TEXT_COLUMNS, *NUMERIC_COLUMNS, *FLAG_COLUMNS]
 
 # Markers that mean "missing" in text columns.

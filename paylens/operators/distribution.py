@@ -20,7 +20,7 @@ def box_stats(df: DataFrame, key: str, groups: Sequence[str], measure: str, meth
     """
     rows = df.select(key, F.col(measure).alias("_x"))
     wanted = {"q1": ("_x", 0.25), "median": ("_x", 0.5), "q3": ("_x", 0.75)}
-    quartiles = grouped_percentiles(rows, [key], wanted, method=method).where(F.col(key).isin(list(groups)))
+    quartiles = grouped_percentiles(rows.where(F.col(key).isin(list(groups))), [key], wanted, method=method)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = quartiles.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
     inside = F.when(F.col("_x").between(F.col("_low"), F.col("_high")), F.col("_x"))
@@ -45,9 +45,10 @@ def histogram(df: DataFrame, col: str, bins: int, min_n: int) -> DataFrame:
 
     Bin edges lie on odd multiples of half a width. All ``bins`` are listed, also
     empty ones; a column with one distinct value has a single bin. Empty when
-    fewer than ``min_n`` rows hold a value.
+    fewer than ``min_n`` rows hold a finite value.
     """
-    values = df.select(F.col(col).alias("_x")).where(F.col("_x").isNotNull())
+    # Null, NaN and infinite values have no place on the axis.
+    values = df.select(F.col(col).cast("double").alias("_x")).where(F.abs("_x") < float("inf"))
     low, high = F.min("_x"), F.max("_x")
     span = values.agg(
         F.count(F.lit(1)).alias("total"),

@@ -18,7 +18,10 @@ def _equals(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
 
 
 def apply_global(df: DataFrame, f: PostingFilter) -> DataFrame:
-    df = df.where(F.col("avg_salary").between(f.lo, f.hi))
+    if f.lo is not None:
+        df = df.where(F.col("avg_salary") >= f.lo)
+    if f.hi is not None:
+        df = df.where(F.col("avg_salary") <= f.hi)
     return _equals(df, {"role": f.role, "sector": f.sector, "seniority": f.seniority})
 
 

@@ -53,7 +53,9 @@ def filter_domains(
     values in their own order. One scan serves all columns.
     """
     pairs = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(c).alias("value")) for d, (c, _) in cols.items()])
-    found = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
+    # Few combinations remain after a grouping that is combined on the map side; only these are turned into rows.
+    combined = df.select(*dict.fromkeys(c for c, _ in cols.values())).distinct()
+    found = combined.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
     by_value = Window.partitionBy("domain").orderBy("value")
     found = found.withColumn("pos", F.row_number().over(by_value).cast("bigint"))
 

@@ -2,23 +2,24 @@
 
 ``percentile`` and ``median`` keep every distinct value of a group in the memory
 of one task. With seven roles over a table of billions of rows that is seven
-tasks. ``grouped_percentiles`` gets the same numbers from two scans, each reduced
-on the map side to a few thousand counts per group:
+tasks. ``grouped_percentiles`` gets the same numbers from a few scans, each reduced
+on the map side to counts:
 
 1. Count the rows of each group in fixed, fine bins of the value (0.27 % wide).
    The cumulative counts tell in which bins the wanted ranks lie.
-2. Count again, now by distinct value inside those few bins and by bin elsewhere.
-   The cumulative counts give the values at the wanted ranks.
-
-Sizes: a window task sees one group's bins (256 per doubling of the value) and
-the distinct values in its open bins, whatever the number of rows. The broadcast
-set of open bins holds at most ``GROUP_SLOTS`` x bins rows, whatever the number
-of groups. Nothing depends on which group holds most of the rows.
-
-Amounts of money have few distinct values in a bin. For measures with unlimited
-digits, an open bin may hold 0.3 % of a group's rows; ``levels=2`` (for all
-queries: the setting ``spark.paylens.quantile.levels``) adds a scan that splits
-each open bin into 1024 before values are counted, ``levels=3`` one more.
+2. Count the rows of those open bins again, split into 1024 each (``levels`` - 1 times).
+3. Count the distinct values of the open bins. Offsets come from the bins, so the
+   values are windowed bin by bin: one bin's values are all that a task sees.
+
+Sizes: a window task sees one group's bins (256 per doubling of the value), one
+bin's 1024 parts, or one part's distinct values. The default, one level, suits amounts of
+money, which have few distinct values in a bin. For measures with unlimited digits
+set ``levels=2`` (for all queries: ``spark.paylens.quantile.levels``): a part is
+then 0.0003 % wide, for one more scan. Rows outside open bins are told off by a broadcast set of cells, into which
+open bins are hashed: at most ``CELLS`` numbers, whatever the number of groups; what a shared
+cell lets through is dropped when counts meet the open bins. Nothing depends on which group holds most
+of the rows. The operator is meant for few groups of many rows: with small groups,
+a row's count is no smaller than the row.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ from paylens.functions.columns import literal, name
 
 BINS_PER_OCTAVE = 256
 FINEST_UNIT = 2**-20  # below this magnitude bins get wider, relative to the value
-GROUP_SLOTS = 256
+CELLS = 2**20
 LEVELS_SETTING = "spark.paylens.quantile.levels"
 SPLIT_BITS = 10  # each further level splits a bin into 2**10
+DEFAULT_LEVELS = 1
 MAX_LEVELS = 3
 BIN_LIMIT = 2**40  # above the finest bin number of the largest double
 NULL_BIN = f"{-BIN_LIMIT}L"
@@ -70,28 +72,25 @@ def _measures(
         pairs = ", ".join(f"{i}, _m{i}" for i in range(len(cols)))
         stacked = f"stack({len(cols)}, {pairs}) AS (_measure, _value)"
         long = wide.selectExpr(*map(name, keys), *[f"_t_{out}" for out in totals], stacked)
+    # NaN is no value, as null is none.
+    long = long.withColumn("_value", F.expr("nanvl(_value, NULL)"))
     if levels == 1:
         return long.selectExpr("*", f"{_bin(levels)} AS _bin")
     return long.selectExpr("*", f"{_bin(levels)} AS _finest").selectExpr("*", f"{_bin_at(levels, 0)} AS _bin")
 
 
-def _cell(keys: Sequence[str], many: bool) -> str:
-    """One number for (group slot, measure, bin), of which there is a bounded count."""
-    slot = f"pmod(xxhash64({', '.join(map(name, keys))}), {GROUP_SLOTS})" if keys else "0L"
-    measure = f"({slot} * 1024 + _measure)" if many else slot
-    return f"{measure} * {2 * BIN_LIMIT} + _bin AS _cell"
+def _cell(dims: Sequence[str]) -> str:
+    """One of a bounded count of numbers for a group's bin."""
+    return f"pmod(xxhash64({', '.join([*map(name, dims), '_bin'])}), {CELLS}) AS _cell"
 
 
-def _ranked(dims: Sequence[str]) -> list[str]:
-    """Number of values in the row's group, and number of values before the row."""
-    counted = "CASE WHEN _value IS NOT NULL THEN _rows ELSE 0L END"
-    group = f"PARTITION BY {', '.join(map(name, dims))} " if dims else ""
-    # One order for both, so that one sort serves them.
-    rows = f"{group}ORDER BY _bin, _value ROWS BETWEEN UNBOUNDED PRECEDING AND"
-    return [
-        f"sum({counted}) OVER ({rows} UNBOUNDED FOLLOWING) AS _valid",
-        f"sum({counted}) OVER ({rows} CURRENT ROW) - {counted} AS _before",
-    ]
+def _ranked(within: Sequence[str], order: str, base: str = "0L") -> str:
+    """Number of values of the group before the row, given the number before its partition."""
+    group = f"PARTITION BY {', '.join(map(name, within))} " if within else ""
+    return f"{base} + sum({COUNTED}) OVER ({group}ORDER BY {order} ROWS UNBOUNDED PRECEDING) - {COUNTED} AS _before"
+
+
+COUNTED = "CASE WHEN _value IS NOT NULL THEN _rows ELSE 0L END"
 
 
 def _covers(rank: str) -> str:
@@ -121,55 +120,73 @@ def grouped_percentiles(
     if method == "exact":
         return df.groupBy(*keys).agg(
             F.expr("count(1) AS n"),
-            *[F.expr(f"percentile(CAST({name(c)} AS double), {p}) AS {out}") for out, (c, p) in wanted.items()],
+            *[F.expr(f"percentile(nanvl(CAST({name(c)} AS double), NULL), {p}) AS {out}") for out, (c, p) in wanted.items()],
             *[F.expr(f"sum({expr}) AS {out}") for out, expr in totals.items()],
         )
     if method != "two_phase":
         raise ValueError(f"unknown method: {method}")
 
-    levels = levels or int(df.sparkSession.conf.get(LEVELS_SETTING, "1"))
+    levels = levels or int(df.sparkSession.conf.get(LEVELS_SETTING, str(DEFAULT_LEVELS)))
     if not 1 <= levels <= MAX_LEVELS:
         raise ValueError(f"levels must be 1 to {MAX_LEVELS}, not {levels}")
 
     cols = list(dict.fromkeys(c for c, _ in wanted.values()))
     many = len(cols) > 1
     dims = [*keys, "_measure"] if many else list(keys)
-    counts = [F.expr("count(1) AS _rows"), *[F.expr(f"sum(_t_{out}) AS _t_{out}") for out in totals]]
+    counts = [F.expr("count(1) AS _rows"), F.expr("min(_value) AS _value"), F.expr("max(_value) AS _top")]
     ends = [f"{f}({_position(p)})" for p in sorted({p for _, p in wanted.values()}) for f in ("floor", "ceil")]
+    wanted_here = f"({' OR '.join(map(_covers, ends))})"
+    shown = [*map(name, dims), "_value", "_rows", "_before", "_valid"]
 
     rows = _measures(df, keys, cols, totals, levels)
+    group = f"PARTITION BY {', '.join(map(name, dims))}" if dims else ""
+    bins = (
+        rows.groupBy(*dims, "_bin")
+        .agg(*counts, *[F.expr(f"sum(_t_{out}) AS _t_{out}") for out in totals])
+        .selectExpr("*", f"sum({COUNTED}) OVER ({group}) AS _valid", _ranked(dims, "_bin"))
+    )
+    # All bins count for n and the totals; those with one value may hold a wanted one.
+    sums = [f"_t_{out}" for out in totals]
+    steps = bins.selectExpr(*shown, "_value = _top AS _known", "_rows AS _n", *sums)
     for level in range(levels):
-        bins = rows.groupBy(*dims, "_bin").agg(
-            F.expr("count(1) AS _rows"), F.expr("min(_value) AS _value"), F.expr("max(_value) AS _top")
+        last = level + 1 == levels
+        # Always true: with the totals in use here too, both uses of the bins have one input, which is computed once.
+        all_used = f" AND (_rows > 0 OR xxhash64({', '.join(sums)}) <> 0)" if sums and not level else ""
+        open_bins = bins.where(f"_value < _top AND {wanted_here}{all_used}").selectExpr(
+            *[f"{name(d)} AS _k{i}" for i, d in enumerate(dims)], "_bin AS _in", "_before AS _base", "_valid"
         )
-        open_bins = (
-            bins.selectExpr("*", *_ranked(dims))
-            .where(f"_value < _top AND ({' OR '.join(map(_covers, ends))})")
-            .selectExpr(_cell(keys, many), "true AS _open")
-        )
-        if keys:  # else no two rows can share a cell
-            open_bins = open_bins.distinct()
-        rows = rows.selectExpr("*", _cell(keys, many)).join(F.broadcast(open_bins), "_cell", "left")
-        if level + 1 < levels:
-            split = f"CASE WHEN _open THEN {_bin_at(levels, level + 1)} ELSE _bin END"
-            rows = rows.withColumn("_bin", F.expr(split)).drop("_cell", "_open")
-    steps = (
-        rows.groupBy(*dims, "_bin", F.expr("CASE WHEN _open THEN _value END AS _exact"))
-        .agg(F.expr("min(_value) AS _value"), *counts)
-        .selectExpr("*", *_ranked(dims))
-    )
+        keyed = open_bins.selectExpr(*[f"_k{i} AS {name(d)}" for i, d in enumerate(dims)], "_in AS _bin")
+        cells = F.broadcast(keyed.selectExpr(_cell(dims)).distinct())
+        rows = rows.selectExpr("*", _cell(dims)).join(cells, "_cell", "left_semi").drop("_cell")
+        if last:
+            parts = rows.groupBy(*dims, "_bin", "_value").agg(F.expr("count(1) AS _rows")).withColumn("_top", F.col("_value"))
+        else:
+            rows = rows.selectExpr("*", f"{_bin_at(levels, level + 1)} AS _part")
+            parts = rows.groupBy(*dims, "_bin", "_part").agg(*counts)
+            rows = rows.drop("_bin").withColumnRenamed("_part", "_bin")
+        same = F.col("_bin") == F.col("_in")
+        for i, d in enumerate(dims):
+            same = same & F.col(name(d)).eqNullSafe(F.col(f"_k{i}"))
+        order = "_value" if last else "_part"
+        parts = parts.join(open_bins, same).selectExpr("*", _ranked([*dims, "_bin"], order, "_base"))
+        if not last:
+            parts = parts.drop("_bin").withColumnRenamed("_part", "_bin")
+        held = parts.where(wanted_here)
+        more = held.selectExpr(*shown, "_value = _top AS _known", "0L AS _n", *[f"NULL AS {t}" for t in sums])
+        steps = steps.unionByName(more)
+        bins = held
 
     found, interpolated = [], []
     for i, (out, (col, p)) in enumerate(wanted.items()):
         of = f"_measure = {cols.index(col)}" if many else "true"
         position = _position(p)
         for end, f in (("lo", "floor"), ("hi", "ceil")):
-            found.append(f"max(CASE WHEN {of} AND {_covers(f'{f}({position})')} THEN _value END) AS _{end}{i}")
+            found.append(f"max(CASE WHEN {of} AND _known AND {_covers(f'{f}({position})')} THEN _value END) AS _{end}{i}")
         found.append(f"max(CASE WHEN {of} THEN {position} - floor({position}) END) AS _part{i}")
         between = f"_lo{i} * (1 - _part{i}) + _hi{i} * _part{i}"
         interpolated.append(f"CASE WHEN _lo{i} = _hi{i} THEN _lo{i} ELSE {between} END AS {out}")
     first = "_measure = 0" if many else "true"
-    found.append(f"coalesce(sum(CASE WHEN {first} THEN _rows END), 0L) AS n")
+    found.append(f"coalesce(sum(CASE WHEN {first} THEN _n END), 0L) AS n")
     found += [f"sum(CASE WHEN {first} THEN _t_{out} END) AS {out}" for out in totals]
     answer = steps.groupBy(*keys).agg(*map(F.expr, found))
     return answer.selectExpr(*map(name, keys), "n", *interpolated, *totals)

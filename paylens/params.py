@@ -9,8 +9,8 @@ from paylens.model import SKILLS
 
 @dataclass(frozen=True)
 class PostingFilter:
-    lo: float = 10
-    hi: float = 260
+    lo: float | None = 10
+    hi: float | None = 260
     role: str | None = None
     sector: str | None = None
     seniority: str | None = None

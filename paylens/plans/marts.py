@@ -268,7 +268,12 @@ def _rated(spark, source, params) -> DataFrame:
 def rating_regression(spark, source, params=ALL_COMPANIES) -> DataFrame:
     fit = require_rows(regression.linear_fit(_rated(spark, source, params), SALARY, "rating"), MIN_FOR_RATING)
     named = {"avg_rating": "avg_x", "min_salary": "min_y", "slope": "slope", "intercept": "intercept", "r2": "r2"}
-    return fit.select("n", *[r6(F.col(c)).alias(out) for out, c in named.items()])
+    shown = {"avg_rating_1dp": "avg_x", "slope_1dp": "slope"}
+    return fit.select(
+        "n",
+        *[r6(F.col(c)).alias(out) for out, c in named.items()],
+        *[F.bround(F.col(c), 1).alias(out) for out, c in shown.items()],
+    )
 
 
 def rating_fit_band(spark, source, params=ALL_COMPANIES) -> DataFrame:
@@ -277,14 +282,16 @@ def rating_fit_band(spark, source, params=ALL_COMPANIES) -> DataFrame:
 
 
 def _has_rows(df: DataFrame, at_least: int) -> Column:
-    """Does ``df`` have that many rows? A subquery that reads no further than needed."""
-    return df.select(F.lit(1)).limit(at_least).agg(F.count(F.lit(1))).scalar() >= at_least
+    """Does ``df`` have that many rows? The subquery needs all columns of ``df``, so that shuffles below are shared."""
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.xxhash64(*df.columns)).alias("used"))
+    one = found.select(F.struct("n", "used")).scalar()
+    return (one["n"] >= at_least) & one["used"].isNotNull()
 
 
 def rating_points(spark, source, params=ALL_COMPANIES) -> DataFrame:
     """One row per rated posting: to be written, not collected."""
-    rated = _rated(spark, source, params)
-    return rated.where(_has_rows(rated, MIN_FOR_RATING)).select("company_name", "rating", SALARY, "role")
+    rated = _rated(spark, source, params).select("company_name", "rating", SALARY, "role")
+    return rated.where(_has_rows(rated, MIN_FOR_RATING))
 
 
 def rating_density(spark, source, params=ALL_COMPANIES) -> DataFrame:
@@ -360,8 +367,9 @@ def kpi_labels(spark, source, params=ALL_POSTINGS, profile=DEFAULT_PROFILE) -> D
     states = _labels(
         states,
         {
-            "top_paying_state": with_note(c("paying.state"), _money(-c("paying.m"))),
-            "busiest_state": with_note(c("busy.state"), F.concat((-c("busy.m")).cast("string"), F.lit(" jobs"))),
+            # A winner whose state is unknown is a winner, unlike none at all.
+            "top_paying_state": with_note(F.when(c("paying.unknown"), "NA").otherwise(c("paying.state")), _money(-c("paying.m"))),
+            "busiest_state": with_note(F.when(c("busy.unknown"), "NA").otherwise(c("busy.state")), F.concat((-c("busy.m")).cast("string"), F.lit(" jobs"))),
         },
     )
 

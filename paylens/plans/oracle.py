@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+# Fixed values in the SQL below: rule words, markers, labels, category orders and limits of the data model. They are
+# written out again, not imported, so that the SQL does not depend on the code that it checks.
+
 RAW = """
 raw AS (
   SELECT
@@ -85,6 +88,8 @@ GLOBAL = "g AS (SELECT * FROM d WHERE avg_salary BETWEEN 10 AND 260)"
 GLOBAL_SENIOR = "g AS (SELECT * FROM d WHERE avg_salary BETWEEN 10 AND 260 AND seniority = 'Senior')"
 GLOBAL_NARROW = """g AS (SELECT * FROM d WHERE avg_salary BETWEEN 80 AND 120
   AND role = 'Data Engineer' AND sector = 'Brand#7' AND seniority = 'Junior')"""
+GLOBAL_OPEN = "g AS (SELECT * FROM d WHERE avg_salary >= 10)"
+GLOBAL_NONE = "g AS (SELECT * FROM d WHERE avg_salary BETWEEN 10 AND 260 AND sector = 'none')"
 PROFILE = "p AS (SELECT * FROM d WHERE role = 'Data Scientist' AND python_yn = 1)"
 PROFILE_ANY = "p AS (SELECT * FROM d)"
 PROFILE_FULL = """p AS (SELECT * FROM d WHERE role = 'ML Engineer' AND job_state = 'NATION_3'
@@ -103,6 +108,13 @@ STATE_MEDIANS = """states AS (
   FROM g GROUP BY job_state HAVING count(*) >= 3)"""
 STATE_COUNTS = "states AS (SELECT job_state, count(*) AS n FROM g GROUP BY job_state)"
 
+TOP_STATES = """SELECT job_state, median, n, median = max(median) OVER () AS is_top,
+  row_number() OVER (ORDER BY median, job_state) AS pos
+  FROM (SELECT *, rank() OVER (ORDER BY median DESC) AS r FROM states) WHERE r <= 15"""
+BUSY_STATES = """SELECT job_state, n, n = max(n) OVER () AS is_top,
+  row_number() OVER (ORDER BY n, job_state) AS pos
+  FROM (SELECT *, rank() OVER (ORDER BY n DESC) AS r FROM states) WHERE r <= 15"""
+
 STATS = "stats AS (" + " UNION ALL ".join(
     f"""SELECT '{name}' AS skill, {i} AS skill_pos, count(*) AS n,
     round(avg({flag}) * 100, 6) AS demand,
@@ -288,6 +300,20 @@ def oracle_sql() -> dict[str, str]:
   round(quantile_cont(avg_salary, 0.25), 6) AS q1, round(quantile_cont(avg_salary, 0.75), 6) AS q3,
   round(avg(sal_spread), 6) AS avg_spread FROM g""",
         ),
+        "market_kpis__no_upper_limit": _sql(
+            GLOBAL_OPEN,
+            body="""SELECT count(*) AS n, round(median(avg_salary), 6) AS median,
+  round(quantile_cont(avg_salary, 0.25), 6) AS q1, round(quantile_cont(avg_salary, 0.75), 6) AS q3,
+  round(avg(sal_spread), 6) AS avg_spread FROM g""",
+        ),
+        "top_states_by_salary__narrow": _sql(GLOBAL_NARROW, STATE_MEDIANS, body=TOP_STATES),
+        "top_states_by_volume__narrow": _sql(GLOBAL_NARROW, STATE_COUNTS, body=BUSY_STATES),
+        "profile_top_sectors__full": _sql(PROFILE_FULL + TOP_SECTORS, body=""),
+        "skill_gap__all_skills": _sql(
+            body="""SELECT cast(NULL AS varchar) AS skill, cast(NULL AS double) AS gain, cast(NULL AS varchar) AS dir,
+  cast(NULL AS double) AS baseline, cast(NULL AS bigint) AS pos WHERE false"""
+        ),
+        "kpi_labels__none": _sql(GLOBAL_NONE, PROFILE, STATS + LABELS, body=""),
         "salary_range_by_role": _sql(GLOBAL, RANGES, body=RANGE_BY_ROLE),
         "salary_range_by_role__senior": _sql(GLOBAL_SENIOR, RANGES, body=RANGE_BY_ROLE),
         "top_role": _sql(GLOBAL, RANGES, body="SELECT role, mid, hi FROM ranges ORDER BY mid DESC, role LIMIT 1"),
@@ -405,7 +431,8 @@ FROM pairs WHERE n >= 10""",
   regr_slope(avg_salary, rating) AS slope, regr_intercept(avg_salary, rating) AS intercept,
   regr_r2(avg_salary, rating) AS r2 {rated})""",
             body="""SELECT cast(n AS bigint) AS n, round(avg_rating, 6) AS avg_rating, round(min_salary, 6) AS min_salary,
-  round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2 FROM f WHERE n > 5""",
+  round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2,
+  round_even(avg_rating, 1) AS avg_rating_1dp, round_even(slope, 1) AS slope_1dp FROM f WHERE n > 5""",
         ),
         "rating_fit_band": _sql("c AS (SELECT 1)" + FIT_BAND, body=""),
         "rating_points": _sql(body=f"SELECT company_name, rating, avg_salary, role {rated} AND {enough}"),

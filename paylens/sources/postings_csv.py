@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from paylens.model import CSV_COLUMNS, RAW_COLUMNS
+from paylens.model import CSV_COLUMNS, OPTIONAL_COLUMNS, RAW_COLUMNS
 
 
 def read_postings_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -13,19 +15,30 @@ def read_postings_csv(spark: SparkSession, path: str, multi_line: bool = True) -
     ``multi_line`` allows line breaks inside quotes and makes a file the unit of
     parallelism. For few, very large files whose text has no line breaks, pass
     ``False`` so that Spark splits the files.
+
+    Files of one path must have the same header; a file with another order or
+    other columns is refused when it is read, as Spark assigns columns by place. Read
+    such files one by one and join them with ``unionByName``. The two columns that tell where a
+    salary comes from may be absent: they are null then.
     """
-    raw = (
+    reader = (
         spark.read.option("header", True)
         .option("inferSchema", False)
+        .option("enforceSchema", False)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("nullValue", "NA")
         .option("emptyValue", "")
-        .csv(path)
     )
+    header = reader.csv(path).columns
+    # Unnamed columns get a name from their place; the comparison of headers needs the empty one.
+    fields = ["" if c == f"_c{i}" else c for i, c in enumerate(header)]
+    raw = reader.schema(StructType([StructField(c, StringType()) for c in fields])).csv(path)
     known = {c: CSV_COLUMNS[c] for c in raw.columns if c in CSV_COLUMNS}
-    missing = set(RAW_COLUMNS) - set(known.values())
+    missing = set(RAW_COLUMNS) - set(known.values()) - set(OPTIONAL_COLUMNS)
     if missing:
         raise ValueError(f"columns not found in {path}: {sorted(missing)}")
-    return raw.select(*[f"`{c}`" for c in known]).withColumnsRenamed(known)
+    found = raw.select(*[f"`{c}`" for c in known]).withColumnsRenamed(known)
+    absent = [c for c in OPTIONAL_COLUMNS if c not in known.values()]
+    return found.withColumns({c: F.lit(None).cast("string") for c in absent}) if absent else found

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paylens import model as m
+from paylens.functions.columns import first_match, to_number
 from paylens.operators import cleaning
 from paylens.sources.postings_csv import read_postings_csv
 from paylens.sources.skills import skill_dictionary, with_skill_name
@@ -156,3 +157,38 @@ def test_skill_dictionary(spark):
     ]
     df = spark.createDataFrame([("aws",), ("nothing",)], "col string")
     assert [r["skill"] for r in with_skill_name(df).collect()] == ["AWS"]
+
+
+@pytest.mark.parametrize("text", ["1e10", "inf", "Infinity", "NaN", "1.9", "0.5", "x", ""])
+def test_flags_that_are_no_whole_number(spark, text):
+    df = spark.createDataFrame([(text, "1.0")], "a string, b string")
+    assert df.select(to_number("a", True, "int"), to_number("b", True, "int")).first() == (None, 1)
+
+
+@pytest.mark.parametrize("text", ["1e400", "-inf", "Infinity", "NaN"])
+def test_amounts_are_finite(spark, text):
+    assert spark.createDataFrame([(text,)], "a string").select(to_number("a", True)).first()[0] is None
+    assert spark.createDataFrame([(float(text),)], "a double").select(to_number("a", False)).first()[0] is None
+
+
+def test_rules_may_be_patterns(spark):
+    rules = [("nlp", "^ml |nlp"), ("dotted", r"sr\."), ("plain", ["b", "c"])]
+    given = {"ml ops": "nlp", "old ml": "-", "an nlp": "nlp", "sr. x": "dotted", "sr x": "-", "abe": "plain"}
+    df = spark.createDataFrame([(t,) for t in given], "t string")
+    assert [r[0] for r in df.select(first_match("t", rules, "-")).collect()] == list(given.values())
+
+
+def test_csv_files_of_another_order_are_refused(spark, tmp_path):
+    header = [c for c in m.CSV_COLUMNS if "." not in c]
+    row = {c: "1" for c in header}
+    for name, cols in (("a", header), ("b", header[::-1])):
+        (tmp_path / f"{name}.csv").write_text(",".join(cols) + "\n" + ",".join(row[c] for c in cols) + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_postings_csv(spark, str(tmp_path)).collect()
+
+
+def test_csv_without_salary_sources(spark, tmp_path):
+    header = [c for c in m.CSV_COLUMNS if "." not in c and c not in ("employer_provided", "hourly")]
+    (tmp_path / "a.csv").write_text(",".join(header) + "\n" + ",".join("50" for _ in header) + "\n")
+    df = cleaning.clean(read_postings_csv(spark, str(tmp_path)))
+    assert [r["sal_source"] for r in df.collect()] == [m.ESTIMATED]

@@ -122,11 +122,22 @@ def test_levels_by_setting(spark):
         spark.conf.unset("spark.paylens.quantile.levels")
     assert by_setting.collect()[0]["m"] == pytest.approx(100 + 2499.5e-5, rel=1e-14)
 
-    def lookups(levels):
-        plan = grouped_percentiles(df, ["k"], {"m": ("x", 0.5)}, levels=levels)
-        return plan._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
 
-    assert lookups(2) > lookups(1)
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_nan_is_no_value(spark, levels):
+    df = frame(spark, {"a": [float("nan"), 1.0, 2.0, 3.0, float("nan")], "b": [float("nan")]})
+    wanted = {"lo": ("x", 0.25), "mid": ("x", 0.5), "hi": ("x", 0.75)}
+    two = sorted(grouped_percentiles(df, ["k"], wanted, levels=levels).collect())
+    assert two == sorted(grouped_percentiles(df, ["k"], wanted, method="exact").collect())
+    assert tuple(two[0]) == ("a", 5, 1.5, 2.0, 2.5)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_values_are_windowed_bin_by_bin(spark, keys):
+    plan = grouped_percentiles(frame(spark, {"a": [1.0, 2.0]}), keys, {"m": ("x", 0.5)})._jdf.queryExecution()
+    windows = [w for w in plan.optimizedPlan().toString().splitlines() if "Window [" in w]
+    over_values = [w for w in windows if "_value#" in w.rpartition("], [")[2]]
+    assert over_values and all("_bin#" in w.split("], [")[-2] for w in over_values)
 
 
 def test_quantile_plan_has_no_value_buffer_and_no_python(spark):
