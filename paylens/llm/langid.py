@@ -25,7 +25,7 @@ PER_LANGUAGE = 400
 LONGEST = 4
 UNKNOWN = "und"
 #: Unseen words whose fallback a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 
 _word = re.compile(r"[^\W\d_]+")
 
@@ -54,21 +54,21 @@ class Model:
         self.grams = [self._logs(g) for g in grams]
 
     @staticmethod
-    def _logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """Log of add-half frequencies, less their mean over languages: only differences decide."""
+    def _logs(table: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
+        """Row numbers, and log of add-half frequencies less their mean over languages: only differences decide."""
         if not table:
-            return {}
+            return {}, np.zeros((0, 1), np.float32)
         counts = np.array(list(table.values())) + 0.5
         logs = np.log(counts / counts.sum(axis=0))
-        return dict(zip(table, logs - logs.mean(axis=1, keepdims=True)))
+        return dict(zip(table, range(len(table)))), (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
     def unseen(self, word: str) -> np.ndarray:
         marked = f"^{word}$"
         for size in range(self.longest, 0, -1):
-            table = self.grams[size]
-            known = [v for i in range(len(marked) - size + 1) if (v := table.get(marked[i : i + size])) is not None]
+            index, logs = self.grams[size]
+            known = [v for i in range(len(marked) - size + 1) if (v := index.get(marked[i : i + size])) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return logs[known].mean(axis=0, dtype=np.float64)
         return np.zeros(len(self.languages))
 
 
@@ -76,8 +76,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.fallback: dict[str, int] = {}
-        self.index = {w: i for i, w in enumerate(model.words)}
-        self.matrix = np.array([*model.words.values()]).reshape(len(self.index), len(model.languages))
+        self.index, self.matrix = model.words
         self.more = np.zeros((1024, len(model.languages)))
 
     def _unseen(self, word: str) -> int:
@@ -130,8 +129,12 @@ def training_fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> Model:
     """The model of docs' training rows with a non-null lang."""
     usable = docs.filter(training_fold(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
-    ids = usable.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+    # Four times the sample by hash value, then exactly the sample by rank: the ranked rows of a language are bounded.
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    share = usable.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share"))
+    near = usable.select("lang", "doc_id", h.alias("h")).join(share, "lang").filter(F.col("h") < F.col("share"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
     chosen = usable.join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "left_semi")
     # The sample has at most per_language ids of each language, so its word counts are bounded by its texts.
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
@@ -152,7 +155,8 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(sent.value)
         for batch in batches:
-            found = [score(x) for x in batch.column(at).to_pylist()]
+            texts = batch.column(at)
+            found = [score(x) for lo in range(0, len(texts), 64) for x in texts.slice(lo, 64).to_pylist()]
             more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
