@@ -44,7 +44,7 @@ STAGES = [
     ("sharding", assign_shards),
 ]
 
-#: Language scores and links by bit distance are not SQL; tests hold run() against a brute-force version.
+#: Language scores and links by bit distance are not SQL; each stage's operator is tested against brute force.
 ORACLE_SQL = None
 
 
