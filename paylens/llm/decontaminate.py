@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,6 +168,16 @@ class Block:
                         yield text, item, n, shared
 
 
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[Broadcast]:
+    """Broadcasts of (item_id, text) rows, each of about block_chars characters of text."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks = max(math.ceil(total / block_chars), 1)
+    for k in range(n_blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+        yield items.sparkSession.sparkContext.broadcast([tuple(r) for r in part.orderBy("item_id", "text").collect()])
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) for every row of docs and item that it contains.
 
@@ -174,16 +185,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
     nowhere; rows with null ids take part. No rows for empty tables.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())])
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(math.ceil(total / block_chars), 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def search(block_no: int) -> DataFrame:
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block_no)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in part.orderBy("item_id", "text").collect()])
-
+    def search(sent: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = Block(sent.value, threshold, width)
             for batch in batches:
@@ -197,10 +201,25 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
 
         return map_in_arrow(rows, run, "doc_id long, item_id long, n_shingles long, n_shared long, containment double")
 
-    return reduce(DataFrame.unionAll, map(search, range(n_blocks)))
+    return reduce(DataFrame.unionAll, map(search, _blocks(items, block_chars)))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs that contain no item; columns as in docs.
+
+    Every row is judged by its own text, whatever its doc_id: rows that repeat an id, or have none, go or stay by
+    themselves. One pass per block of items, without a shuffle. Empty docs give no rows, empty items all rows.
+    """
+    at = docs.columns.index("text")
+
+    def clean(rows: DataFrame, sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = Block(sent.value, threshold, width)
+            for batch in batches:
+                stays = np.ones(len(batch), bool)
+                stays[[m[0] for m in block.matches(batch.column(at).to_pylist())]] = False
+                yield batch.filter(pa.array(stays))
 
+        return map_in_arrow(rows, run, rows.schema)
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
-    """The rows of docs that contain no item; columns as in docs. Rows with a null doc_id stay."""
-    bad = contained(docs, items, threshold, width).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return reduce(clean, _blocks(items, block_chars), docs)

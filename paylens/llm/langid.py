@@ -132,7 +132,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGES
     # Four times the sample by hash value, then exactly the sample by rank: the ranked rows of a language are bounded.
     h = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     share = usable.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share"))
-    near = usable.select("lang", "doc_id", h.alias("h")).join(share, "lang").filter(F.col("h") < F.col("share"))
+    near = usable.select("lang", "doc_id", h.alias("h")).join(share, "lang").filter(F.col("h") < F.col("share")).drop("share").distinct()
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
     chosen = usable.join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "left_semi")
@@ -174,7 +174,13 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = L
 
 
 def drop_unidentified(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> DataFrame:
-    """The rows of docs whose text has a language; columns as in docs."""
+    """The rows of docs whose text has a language; columns as in docs.
+
+    Null texts and texts without a letter go. Without training rows there is no language to tell, and letters alone decide.
+    """
     names = ("__lang_pred", "__lang_score")
-    found = predict(docs, fit(docs, per_language, longest), names)
+    model = fit(docs, per_language, longest)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = predict(docs, model, names)
     return found.filter(F.col(names[0]) != UNKNOWN).drop(*names)

@@ -89,7 +89,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     size and text hash; rows equal in all of these are taken alike. The documents that fit in order are in; then up
     to FILLS of those left whose sizes are nearest to the open gap, as long as they narrow it. Empty input gives no rows.
     """
-    base = docs.drop(*_ADDED).withColumn("size", word_count(F.col("text")))
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in _ADDED]
+    base = docs.select(F.struct(*others).alias("_row"), "doc_id", "text", "source").withColumn("size", word_count(F.col("text")))
     rank_key = [F.col("doc_id"), F.col("size"), F.xxhash64("text").alias("h")]
     sized = written(base.select("source", *rank_key, uniform(F.col("doc_id"), seed).alias("u")), "mix-sizes")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
@@ -154,13 +155,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
         base.join(plan, F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("copies", copies)
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*base.columns, *_ADDED[1:])
+        .select("_row.*", *_ADDED)
     )
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it; columns as in docs."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    plain = docs.select(F.struct(*columns).alias("_row"), "doc_id", "text", "source")
+    plain = docs.select(F.struct(*columns).alias("_taken"), "doc_id", "text", "source")
     taken = mix(plain, **options).filter("copies > 0")
-    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
+    return taken.select("_taken", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_taken.*")

@@ -61,17 +61,18 @@ def fingerprints_of(texts: list[str | None], width: int, seed: int) -> np.ndarra
     return np.packbits(on, axis=1, bitorder="little").view("<i8").ravel()
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, fp) for every row of docs; a null or empty text has fingerprint zero."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, text_hash, fp) for every row of docs; a null or empty text has fingerprint zero."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprints_of(batch.column(1).to_pylist(), width, seed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], schema=schema)
+            fp = fingerprints_of(batch.column(2).to_pylist(), width, seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_in_arrow(rows, run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return map_in_arrow(rows, run, "doc_id long, text_hash long, fp long")
 
 
 def links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
@@ -124,32 +125,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, fp, n_links (of its class), component_id.
+    """One row per row of docs (doc_id, text): doc_id, fp, n_links (of its class), component_id, is_kept.
 
     Fingerprints that differ in max_bits bits or fewer link; component_id is the smallest doc_id reachable, itself
-    included (null ids never win; null if a component has no other). Repeated rows stay; empty input gives no rows.
+    included (null ids never win; null if a component has no other). is_kept marks the one document that stands for
+    its component: of the rows with that doc_id, those with the smallest text_hash. Repeated rows stay; empty input
+    gives no rows.
     """
     prints = written(fingerprints(docs, width, seed), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    classes = prints.groupBy("fp").agg(F.min(row).alias("first"))
     pairs = written(links(classes, max_bits), "links")
     roots = components(pairs)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     member = classes.join(roots, classes.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+        "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = member.join(least, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return prints.join(known, "fp").select("doc_id", "fp", "n_links", "component_id")
+    least = member.groupBy("root").agg(F.min("first").alias("least"))
+    known = member.join(least, "root").join(degree, "fp", "left").select("fp", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    is_kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return prints.join(known, "fp").select("doc_id", "text_hash", "fp", "n_links", F.col("least.doc_id").alias("component_id"), is_kept.alias("is_kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
     """One row of docs for each component, that with the smallest doc_id; columns as in docs.
 
-    Of rows that share this doc_id the one with the smallest hash of its text stays. Rows without a doc_id stay, as
-    nothing names them.
+    Rows without a doc_id stand for a component only if all its rows have none. Texts that share a doc_id and are no
+    near copies of each other stay, each for its own component. Of rows equal in doc_id and text the one whose other
+    columns have the smallest hash stays.
     """
-    keep = near_duplicates(docs, width, max_bits, seed).filter("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.filter("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = chosen.groupBy("doc_id").agg(F.min_by(whole, F.xxhash64("text")).alias("r")).select("r.*")
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    chosen = near_duplicates(docs, width, max_bits, seed).filter("is_kept").select(F.col("doc_id").alias("id"), "text_hash").distinct()
+    kept, columns = "__kept", [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias(kept), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")), "left_semi")
+    hashed = [f"{kept}.`{f.name}`" for f in docs.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString()]
+    return rows.groupBy("doc_id", "hash").agg(F.min_by(kept, F.xxhash64(*hashed)).alias(kept)).select(f"{kept}.*")
