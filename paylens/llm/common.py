@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a task handles at once; a longer text is handled in pieces.
 SLICE_BYTES = 1 << 21
+#: Rows and bytes that Spark hands to Python at once, where the session sets no limits of its own: rows hold whole texts.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22)}
 _own_dirs: dict[str, str] = {}
 _sent: set[str] = set()
 
@@ -31,7 +33,11 @@ def send_package(spark: SparkSession) -> None:
 
 
 def map_in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    send_package(df.sparkSession)
+    spark = df.sparkSession
+    send_package(spark)
+    for key, limit in BATCH_LIMITS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, limit)
     return df.mapInArrow(function, schema)
 
 

@@ -31,6 +31,8 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Characters of item texts in one broadcast block.
 BLOCK_CHARS = 1 << 23
+#: Bytes of document text hashed at once; the hash's tables of powers, which a worker keeps, are as long.
+HASHED_BYTES = 1 << 18
 
 _word = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
 _hash = RollingHash(seed=8)
@@ -81,7 +83,7 @@ def _combine(words: np.ndarray, width: int) -> np.ndarray:
     return mix64(out + np.uint64(width))
 
 
-def _pieces(data: bytes, limit: int = 1 << 22) -> Iterator[bytes]:
+def _pieces(data: bytes, limit: int = HASHED_BYTES) -> Iterator[bytes]:
     """A long text in pieces that end where a word ends, if there is such a place."""
     start = 0
     while len(data) - start > limit:
@@ -101,8 +103,8 @@ def shingle_hashes(texts: list[str | None], width: int = WORDS) -> tuple[np.ndar
     """(hash, index of the text) of every shingle of the texts, repeats included."""
     data = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
     hashes, owners = [], []
-    for lo, hi in slices(data):
-        if hi - lo == 1 and len(data[lo]) > 1 << 22:
+    for lo, hi in slices(data, HASHED_BYTES):
+        if hi - lo == 1 and len(data[lo]) > HASHED_BYTES:
             values = np.concatenate([_word_hashes(p)[1] for p in _pieces(data[lo])])
             owner = np.full(len(values), lo)
         else:
