@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paylens.llm.common import map_in_arrow, send_package, written
+from paylens.llm.common import joined, map_in_arrow, send_package, written
 
 SAMPLE = 20_000
 BRANCH = 8
@@ -250,7 +250,7 @@ def calibrate(queries: DataFrame, index: DataFrame, visits, dim: int, k: int, re
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = sent.value
-        for batch in batches:
+        for batch in joined(batches):
             members, rows, leaf = batch["vec_id"].to_numpy(), _matrix(batch["v"], dim), batch["leaf"].to_numpy()
             rough = q @ rows.T
             for j, query_id in enumerate(query_ids.tolist()):

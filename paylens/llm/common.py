@@ -41,6 +41,20 @@ def map_in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def joined(batches: Iterator[pa.RecordBatch], rows: int = 10_000, size: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches as one, up to so many rows and bytes, for work that a larger batch makes smaller."""
+    held: list[pa.RecordBatch] = []
+    n = held_bytes = 0
+    for batch in batches:
+        if held and (n + batch.num_rows > rows or held_bytes + batch.nbytes > size):
+            yield pa.concat_batches(held)
+            held, n, held_bytes = [], 0, 0
+        held.append(batch)
+        n, held_bytes = n + batch.num_rows, held_bytes + batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

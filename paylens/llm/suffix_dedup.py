@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paylens.llm.common import map_in_arrow, mix64, RollingHash, written
+from paylens.llm.common import joined, map_in_arrow, mix64, RollingHash, written
 
 THRESHOLD = 200
 GRAM = 96
@@ -121,7 +121,7 @@ def _anchors(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("spot", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in joined(batches):
             offsets, data = _buffers(batch["bytes"])
             found = [np.zeros((5, 0), np.int64)]
             for text, start, end in _chunks(offsets, threshold):
