@@ -8,6 +8,9 @@ sample of fixed size in words. u is derived from doc_id, so reruns agree.
 
 The sum over the ranking is not made by sorting a source: sizes are added up in bins of q (map-side combined), the
 bin in which the remaining size is reached is found among the bins, and only rows of that bin are sorted.
+
+The first document that overshoots ends a pass over the ranking. The next pass goes on behind it, over the documents
+that still fit the open gap, until none does; then the one that comes nearest to the target may overshoot it.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from paylens.llm.common import WORD, written
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BINS = 4096
-FILLS = 3
 SEED = "mix-1"
-_KEYS = "array<struct<q:double,doc_id:bigint,size:bigint,h:bigint>>"
+_KEY = ("q", "doc_id", "size", "h")
+_KEY_TYPE = "struct<q:double,doc_id:bigint,size:bigint,h:bigint>"
+_PASSES = f"array<struct<after:{_KEY_TYPE},at_most:bigint,until:{_KEY_TYPE}>>"
 _ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -42,10 +46,32 @@ def _rank(u: Column, f: Column) -> Column:
     return u / (1 - u) / (f / (1 - f))
 
 
-def _is_in(row: Column, last: Column, q_edge: Column, fillers: Column) -> Column:
-    """Whether a row (q, doc_id, size, h) is ranked up to the last that fits (if none of the edge bin fits, below it), or fills."""
-    ranked = F.when(last.isNotNull(), row <= last).otherwise(row["q"] < q_edge)
-    return F.coalesce(ranked | F.array_contains(fillers, row), F.lit(False))
+def _is_in(row: Column, passes: Column, fillers: Column) -> Column:
+    """Whether a row (q, doc_id, size, h) lies in one of the passes over the ranking, or fills."""
+    after = lambda p: p["after"].isNull() | (row > p["after"])
+    before = lambda p: p["until"].isNull() | (row < p["until"])
+    small = lambda p: p["at_most"].isNull() | (row["size"] <= p["at_most"])
+    return F.coalesce(F.exists(passes, lambda p: after(p) & before(p) & small(p)) | F.array_contains(fillers, row), F.lit(False))
+
+
+def _next_pass(left: DataFrame) -> DataFrame | None:
+    """(_s, until, used): the first row of left (_s, gap, bin, key columns) that overshoots the gap, null if all fit, and the words before it.
+
+    None if left has no rows.
+    """
+    order = Window.partitionBy("_s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = left.groupBy("_s", "bin").agg(F.sum("size").alias("s"), F.first("gap").alias("gap")).withColumn("below", F.coalesce(F.sum("s").over(order), F.lit(0)))
+    over = F.min(F.when(F.col("below") + F.col("s") > F.col("gap"), F.struct("bin", "below"))).alias("edge")
+    edges = written(sums.groupBy(F.col("_s").alias("_t")).agg(over, F.sum("s").alias("all")), "mix-edges")
+    if edges.isEmpty():
+        return None
+    key = F.struct(*_KEY)
+    total = F.col("edge.below") + F.sum("size").over(Window.partitionBy("_s").orderBy(key).rangeBetween(Window.unboundedPreceding, 0))
+    in_edge = left.join(edges, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("bin") == F.col("edge.bin"))).withColumn("total", total)
+    fits = F.col("total") <= F.col("gap")
+    found = in_edge.groupBy("_s").agg(F.min(F.when(~fits, key)).alias("until"), F.coalesce(F.max(F.when(fits, F.col("total"))), F.first("edge.below")).alias("used"))
+    found = edges.join(found, F.col("_t").eqNullSafe(F.col("_s")), "left")
+    return found.select(F.col("_t").alias("_s"), "until", F.coalesce("used", "all").alias("used"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -82,12 +108,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int = BINS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int = BINS, seed: str = SEED, fills: int | None = None) -> DataFrame:
     """docs with size, source_size, target, copies and taken (= copies * size), replacing columns of these names.
 
     Documents without words take 0 words. A null source is one source. Documents of equal rank are ordered by doc_id,
-    size and text hash; rows equal in all of these are taken alike. The documents that fit in order are in; then up
-    to FILLS of those left whose sizes are nearest to the open gap, as long as they narrow it. Empty input gives no rows.
+    size and text hash; rows equal in all of these are taken alike. The documents that fit in order are in, and all
+    behind them that fit the gap then left, until no document narrows the gap. With a number as fills, the ranking ends
+    at the first document that overshoots, and up to so many of those left whose sizes are nearest to the gap are added.
+    Empty input gives no rows.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in _ADDED]
     base = docs.select(F.struct(*others).alias("_row"), "doc_id", "text", "source").withColumn("size", word_count(F.col("text")))
@@ -109,47 +137,50 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
         .select("_s", "rest", q.alias("q"), "doc_id", "size", "h")
         .withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * bins))
     )
-    order = Window.partitionBy("_s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        ranked.groupBy("_s", "bin").agg(F.sum("size").alias("s"), F.first("rest").alias("rest"))
-        .withColumn("below", F.coalesce(F.sum("s").over(order), F.lit(0)))
-        .filter("below < rest AND below + s >= rest")
-        .select(F.col("_s").alias("_t"), F.col("bin").alias("edge"), "below")
-    )
-    edge = written(edge, "mix-edges")
-    in_edge = ranked.join(edge, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("bin") == F.col("edge")))
-    key = F.struct("q", "doc_id", "size", "h")
-    total = F.col("below") + F.sum("size").over(Window.partitionBy("_s").orderBy(key).rangeBetween(Window.unboundedPreceding, 0))
-    fits = F.col("total") <= F.col("rest")
-    last = (
-        in_edge.withColumn("total", total)
-        .groupBy("_s")
-        .agg(
-            F.max(F.when(fits, key)).alias("last"),
-            F.min("q").alias("q_edge"),
-            (F.first("rest") - F.coalesce(F.max(F.when(fits, F.col("total"))), F.first("below"))).alias("gap"),
-        )
-        .withColumnRenamed("_s", "_t")
-    )
-    # The document after the last one that fits would overshoot. Of all that are left, the one whose size is nearest to
-    # the open gap fills it, if that is nearer than leaving it open; this is done a fixed number of times.
-    plan = last.withColumn("fillers", F.array().cast(_KEYS))
-    for _ in range(FILLS):
+    key, none = F.struct(*_KEY), F.lit(None)
+    passed = lambda after, at_most: F.array(F.struct(after.alias("after"), at_most.alias("at_most"), F.col("until"))).cast(_PASSES)
+    # The documents that fit in order: a pass over the whole ranking.
+    first = _next_pass(ranked.withColumnRenamed("rest", "gap"))
+    plan = goal.filter("f > 0").select(F.col("_s").alias("_t"), F.col("rest").alias("gap"))
+    if first is None:
+        plan = plan.withColumn("until", none.cast(_KEY_TYPE)).withColumn("passes", F.array().cast(_PASSES))
+    else:
+        plan = plan.join(first, F.col("_t").eqNullSafe(F.col("_s"))).select("_t", (F.col("gap") - F.col("used")).alias("gap"), "until", passed(none, none).alias("passes"))
+    plan = written(plan, "mix-pass")
+    while fills is None:
+        # Whatever stands before the end of a pass and fits the gap now is taken, as the gap only closes.
+        ahead = ranked.join(plan, F.col("_s").eqNullSafe(F.col("_t"))).filter(key > F.col("until"))
+        found = _next_pass(ahead.filter((F.col("size") > 0) & (F.col("size") <= F.col("gap"))).select("_s", "gap", "bin", *_KEY))
+        if found is None:
+            break
+        gone = plan.withColumnRenamed("until", "after").join(found, F.col("_t").eqNullSafe(F.col("_s")), "left")
+        more = F.col("used").isNotNull()
+        plan = gone.select(
+            "_t", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"), F.when(more, F.col("until")).alias("until"),
+            F.when(more, F.concat("passes", passed(F.col("after"), F.floor("gap")))).otherwise(F.col("passes")).alias("passes"),
+        )
+        plan = written(plan, "mix-pass")
+    # Of all that are left, the one whose size is nearest to the open gap fills it, if that is nearer than leaving it open.
+    plan = plan.withColumn("fillers", F.array().cast(f"array<{_KEY_TYPE}>"))
+    for _ in range(1 if fills is None else fills):
         plan = written(plan, "mix-last")
         left = ranked.join(plan, F.col("_s").eqNullSafe(F.col("_t")))
-        left = left.filter(~_is_in(key, F.col("last"), F.col("q_edge"), F.col("fillers")))
-        off = F.abs(F.col("size") - F.col("gap"))
-        best = left.groupBy("_s").agg(F.min(F.when(off < F.abs("gap"), F.struct(off.alias("off"), key.alias("row")))).alias("best"))
+        left = left.filter((F.abs(F.col("size") - F.col("gap")) < F.abs("gap")) & ~_is_in(key, F.col("passes"), F.col("fillers")))
+        words = F.col("size")
+        if fills is None:  # equal rows fill together
+            left, words = left.groupBy("_s", "gap", *_KEY).agg(F.sum("size").alias("words")), F.col("words")
+        off = F.abs(words - F.col("gap"))
+        best = left.groupBy("_s").agg(F.min(F.when(off < F.abs("gap"), F.struct(off.alias("off"), key.alias("row"), words.alias("words")))).alias("best"))
         plan = plan.join(best, F.col("_t").eqNullSafe(F.col("_s")), "left").select(
-            "_t", "last", "q_edge",
-            F.when(F.col("best").isNull(), F.col("gap")).otherwise(F.col("gap") - F.col("best.row.size")).alias("gap"),
+            "_t", "passes",
+            F.when(F.col("best").isNull(), F.col("gap")).otherwise(F.col("gap") - F.col("best.words")).alias("gap"),
             F.when(F.col("best").isNull(), F.col("fillers")).otherwise(F.concat("fillers", F.array("best.row"))).alias("fillers"),
         )
     plan = goal.join(plan, F.col("_s").eqNullSafe(F.col("_t")), "left")
-    plan = plan.select("_s", "source_size", "target", "whole", "f", "last", "q_edge", "fillers")
+    plan = plan.select("_s", "source_size", "target", "whole", "f", "passes", "fillers")
     plan = written(plan, "mix-plan")
     row = F.struct(_rank(uniform(F.col("doc_id"), seed), F.col("f")).alias("q"), *rank_key)
-    more = _is_in(row, F.col("last"), F.col("q_edge"), F.col("fillers"))
+    more = _is_in(row, F.col("passes"), F.col("fillers"))
     copies = F.col("whole") + F.when(F.col("f") > 0, more.cast("long")).otherwise(0)
     return (
         base.join(plan, F.col("source").eqNullSafe(F.col("_s")))

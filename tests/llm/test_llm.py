@@ -191,3 +191,18 @@ def test_base_spans_match_the_patterns(spark):
 
     want = {(i, k, m.start(), m.end()) for i, t in enumerate(texts) for k, p in plain.items() for m in re.finditer(p, t) if valid(k, m.group())}
     assert {(r.doc_id, r.kind, r.start, r.end) for r in rows} == want
+
+
+def test_mix_goes_on_behind_a_huge_document(spark):
+    rng = np.random.default_rng(3)
+    sizes = {"a": [30_000] + rng.integers(5, 60, 1000).tolist(), "b": [400] * 40 + [1] * 3, "c": rng.integers(1, 900, 300).tolist()}
+    rows = [(100 * i + k, "w " * n, "en", s, "e") for k, (s, of) in enumerate(sizes.items()) for i, n in enumerate(of)]
+    rows += [(7, "again " * 50, "en", "c", "e")] * 4
+    big = spark.createDataFrame(rows, DOCS)
+    for seed in ("mix-1", "s2", "s3", "s4"):
+        got = mixing.mix(big, weights=(1, 1, 1), seed=seed).collect()
+        for source in sizes:
+            mine = [r for r in got if r.source == source]
+            miss, least = sum(r.taken for r in mine) - mine[0].target, min(r["size"] for r in mine)
+            left = [r["size"] for r in mine if r.copies == mine[0].target // mine[0].source_size]
+            assert abs(miss) <= min(left, default=least), (seed, source, miss)
