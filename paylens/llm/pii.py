@@ -4,8 +4,9 @@ Base entities (email, IP address, payment card, phone) are found by pattern and
 before an entity is a lexical pattern (its cue). Every word with a digit or an @ is a possible identifier; its
 occurrences tie it to cues. This graph of cues and instances is scored in rounds: a cue's confidence for a kind is the
 share of its occurrences in the whole corpus that instances of this kind follow, weighted by the instances' scores; an
-instance's score is the chance that not all of its cues are wrong (seeds: 1). Instances that score high enough by cues
-with enough different seeds are identifiers of that kind wherever they occur, outside base spans.
+instance's score is the chance that not all of its cues are wrong (seeds: 1). A cue takes part once enough different
+seeds or instances of high score follow it, at half the confidence or more. Instances that score high enough are
+identifiers of that kind wherever they occur, outside base spans.
 
 Positions come from a replacement that puts marks round all matches and a split at the marks: the lengths of the pieces
 add up to offsets in code points.
@@ -102,35 +103,35 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def discovered(docs: DataFrame, found: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """(match, kind): unseen identifiers, with the kind that scores best (of equals, the first by name).
 
-    A cue takes part for a kind if at least `support` different seeds of this kind follow it.
+    A cue takes part for a kind if at least `support` different seeds, or instances that the round before gave a score
+    of `confidence` for this kind, follow it.
     """
     base = F.col("kind") != "word"
     seen = found.filter("kind IS NOT NULL")
     seeds = seen.filter(base).select("match", "kind").distinct()
-    cued = seen.filter("cue <> ''").groupBy("cue", "match").agg(F.count(F.lit(1)).alias("n"))
-    cued = written(cued, "cued")
-    backed = cued.join(seeds, "match").groupBy("cue", "kind").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= support)
-    backed = written(backed.select("cue", "kind"), "cues")
-    # How often each of these cues occurs at all, over the whole corpus.
+    graph = written(seen.filter("cue <> ''").groupBy("cue", "match").agg(F.count(F.lit(1)).alias("n")), "graph")
+    unseen = seen.filter(~base).select("match").distinct().join(graph.select("match").distinct(), "match", "left_semi")
+    unseen = written(unseen.join(seeds, "match", "left_anti"), "unseen")
+    certain = written(seeds.withColumn("score", F.lit(1.0)), "seeds")
     corpus = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"\s+")).alias("w")).select(F.right("w", F.lit(REACH)).alias("cue"))
-    total = corpus.join(backed.select("cue").distinct(), "cue", "left_semi").groupBy("cue").agg(F.count(F.lit(1)).alias("total"))
-    graph = cued.join(backed.select("cue").distinct(), "cue", "left_semi")
-    followed = graph.groupBy("cue").agg(F.sum("n").alias("followed"))
-    total = total.join(followed, "cue", "right").select("cue", F.greatest(F.coalesce("total", F.lit(0)), "followed").alias("total"))
-    graph, total = written(graph, "graph"), written(total, "totals")
-    unseen = seen.filter(~base).groupBy("match").agg(F.count(F.lit(1)).alias("of"))
-    unseen = written(unseen.join(graph.select("match").distinct(), "match", "left_semi").join(seeds, "match", "left_anti"), "unseen")
-    certain = seeds.withColumn("score", F.lit(1.0))
-    scores = certain
+    scores, totals = certain, None
     for _ in range(rounds):
-        cue = (
-            graph.join(scores, "match").groupBy("cue", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("hits"))
-            .join(backed, ["cue", "kind"], "left_semi").join(total, "cue")
-            .select("cue", "kind", (F.col("hits") / F.col("total")).alias("sure")).filter(F.col("sure") >= confidence / 2)
-        )
-        mean = graph.join(cue, "cue").groupBy("match", "kind").agg(F.sum(F.col("n") * F.col("sure")).alias("hits")).join(unseen, "match")
-        mean = mean.select("match", "kind", (F.col("hits") / F.col("of")).alias("score"))
-        scores = written(certain.unionByName(mean), "scores")
+        hits, backers = F.sum(F.col("n") * F.col("score")).alias("hits"), F.count_if(F.col("score") >= confidence).alias("backers")
+        cue = written(graph.join(scores, "match").groupBy("cue", "kind").agg(hits, backers).filter(F.col("backers") >= support), "cues")
+        # How often each cue that is new in this round occurs at all, over the whole corpus.
+        new = cue.select("cue").distinct()
+        new = written(new.join(totals, "cue", "left_anti") if totals else new, "new-cues")
+        if totals is None or not new.isEmpty():
+            total = corpus.join(new, "cue", "left_semi").groupBy("cue").agg(F.count(F.lit(1)).alias("total"))
+            followed = graph.join(new, "cue", "left_semi").groupBy("cue").agg(F.sum("n").alias("followed"))
+            total = total.join(followed, "cue", "right").select("cue", F.greatest(F.coalesce("total", F.lit(0)), "followed").alias("total"))
+            totals = written(totals.unionByName(total) if totals else total, "totals")
+        cue = cue.join(totals, "cue").select("cue", "kind", (F.col("hits") / F.col("total")).alias("sure"))
+        cue = written(cue.filter(F.col("sure") >= confidence / 2), "cue-scores")
+        # All cues wrong: the product over distinct cues, as a sum of logarithms.
+        wrong = F.exp(F.sum(F.log(F.greatest(1 - F.col("sure"), F.lit(1e-12)))))
+        some = graph.join(cue, "cue").groupBy("match", "kind").agg(F.round(1 - wrong, 9).alias("score"))
+        scores = written(certain.unionByName(some.join(unseen, "match", "left_semi")), "scores")
     high = scores.join(unseen, "match", "left_semi").filter(F.col("score") >= confidence)
     return high.groupBy("match").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind")).alias("best")).select("match", F.col("best.kind").alias("kind"))
 

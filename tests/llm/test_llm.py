@@ -206,3 +206,12 @@ def test_mix_goes_on_behind_a_huge_document(spark):
             miss, least = sum(r.taken for r in mine) - mine[0].target, min(r["size"] for r in mine)
             left = [r["size"] for r in mine if r.copies == mine[0].target // mine[0].source_size]
             assert abs(miss) <= min(left, default=least), (seed, source, miss)
+
+
+def test_identifiers_recur_without_their_cue_and_back_new_cues(spark):
+    texts = [f"mailto: user{i}@example.com ok" for i in range(60)] + [f"mailto: n4me-{i} ok" for i in range(9)] + [f"and n4me-{i} again\nn4me-{i}" for i in range(9)]
+    texts += [f"writeto: n4me-{i} ok" for i in range(9)] + ["writeto: z9-only ok", "z9-only", "room 5 and room 6 ok"]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        want = [(0, m.start(), m.end()) for m in re.finditer(r"n4me-\d|z9-only", text)]
+        assert [tuple(s) for s in got[i].found] == want, text
