@@ -7,7 +7,8 @@ smoothness edges. The minimum cut is the labelling of least total cost; blocks o
 
 The classifier is a logistic regression over properties of a block (length, sentences, links, tags). No page has
 labels, so it is trained on a bounded sample of pages on blocks that semantic tags or class names label, without showing
-it those tags or names; where a page has such marks they are added as prior odds.
+it those tags or names; where a page has such marks they are added as prior odds. A name alone weighs less, and
+nothing against a block that the classifier clearly holds for content.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ SAMPLE_PAGES = 400
 NEIGHBOUR = 0.6
 CONTAINER = 0.9
 PRIOR = 5.0
+#: The mark of an element that only its name holds for boilerplate.
+NAMED = -0.4
+#: Odds from which the classifier clearly holds a block for content, whatever its element's name.
+CLEAR = 2.0
 
 #: Fixed values of the markup language: tags that break text into blocks, that hold no text, that have no end tag.
 BLOCK_TAGS = frozenset(
@@ -47,23 +52,25 @@ OTHER_NAMES = frozenset(
     "masthead footer sidebar side aside widget related recommended cookie cookies consent notice notices popup modal overlay newsletter subscribe signup "
     "login share sharing social comment comments reply replies discussion disqus respond pagination pager tags toolbar skip search copyright legal form".split()
 )
+#: Words that leave a compound (site-footer, comments-list) what its other words say; any other word makes it unknown.
+PART_NAMES = frozenset("site page top bottom left right bar box area list item block section container wrapper wrap inner outer link links text global primary secondary".split())
 ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "form": -1, "dialog": -1, "alert": -1, "main": 1, "article": 1}
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _open_tail = re.compile(r"</?[a-zA-Z][^<]*\Z|<!--.*\Z", re.S)
 _attribute = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_name = re.compile(r"[a-z]+")
+_part = re.compile(r"[-_]+")
 _space = re.compile(r"\s+")
 _sentence = re.compile(r"[.!?…](?:\s|$)")
 
 
 @dataclass
 class Node:
-    """An element: its tag, parent, and what its own and outer marks say (1 content, -1 boilerplate, 0 nothing)."""
+    """An element: its tag, parent, and what its own and outer marks say (1 content, -1 or NAMED boilerplate, 0 nothing)."""
 
     tag: str
     parent: int
-    mark: int
+    mark: float
     hidden: bool
 
 
@@ -71,7 +78,7 @@ class Node:
 class Block:
     text: str
     container: int
-    mark: int
+    mark: float
     tag: str
     link_chars: int
 
@@ -82,12 +89,24 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
 
 
-def _mark(tag: str, attributes: str, outer: int) -> tuple[int, bool]:
+def _named(names: list[str]) -> set[str]:
+    """The words that mark an element, of whole class tokens: words of the lists, or compounds of them and PART_NAMES."""
+    found: set[str] = set()
+    for name in names:
+        parts = {p for p in _part.split(name) if p}
+        if parts <= CONTENT_NAMES | OTHER_NAMES | PART_NAMES:
+            found |= parts & OTHER_NAMES or parts & CONTENT_NAMES
+    return found
+
+
+def _mark(tag: str, attributes: str, outer: float) -> tuple[float, bool]:
     """The mark, inside an element with the mark outer, and whether the element is hidden."""
     mark = 1 if tag in CONTENT_TAGS else -1 if tag in OTHER_TAGS else 0
     if tag == "header" and outer > 0:  # the head of an article, not of the page
         mark = 0
     hidden = tag in HIDDEN_TAGS
+    names: list[str] = []
+    is_main = tag == "main"
     if attributes and not attributes.isspace():
         for m in _attribute.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -97,16 +116,21 @@ def _mark(tag: str, attributes: str, outer: int) -> tuple[int, bool]:
                 hidden |= "display:none" in value.replace(" ", "")
             elif key == "role":
                 mark = ROLES.get(value.strip(), mark)
+                is_main |= value.strip() == "main"
             elif key in ("class", "id") and tag not in ("html", "body"):
-                names = set(_name.findall(value))
-                if outer > 0 or names & CONTENT_NAMES:
-                    names.discard("header")
-                if names & OTHER_NAMES:
-                    mark = -1
-                elif mark == 0 and names & CONTENT_NAMES:
-                    mark = 1
-    # Nothing inside a boilerplate element becomes content by its name.
-    return (-1 if min(mark, outer) < 0 else max(mark, outer)), hidden
+                names += value.split()
+    named = _named(names)
+    content = bool(named & CONTENT_NAMES)
+    if outer > 0 or content:
+        named.discard("header")
+    other = bool(named & OTHER_NAMES)
+    if mark == 0:  # tags and roles win over names, content names over others
+        mark = 1 if content else NAMED if other else 0
+    if outer == -1 or mark == -1:  # nothing inside a boilerplate element becomes content
+        return -1, hidden
+    if outer == NAMED and not is_main:  # a name does not hold what an article inside it says: the classifier decides
+        return (0 if mark > 0 and not other else NAMED), hidden
+    return (NAMED if mark == NAMED else max(mark, outer)), hidden
 
 
 def parse(source: str) -> Page:
@@ -286,7 +310,8 @@ def label(page: Page, weights: np.ndarray) -> list[bool]:
     blocks = page.blocks
     if not blocks:
         return []
-    odds = (np.array([features(b) for b in blocks]) @ weights + PRIOR * np.array([b.mark for b in blocks])).tolist()
+    odds, marks = np.array([features(b) for b in blocks]) @ weights, np.array([b.mark for b in blocks])
+    odds = (odds + PRIOR * np.where((marks == NAMED) & (odds >= CLEAR), 0, marks)).tolist()
     # A container is a node of its own without costs; its blocks are tied to it, and it to its parent's node.
     tied = {b.container for b in blocks}
     number = {c: len(blocks) + k for k, c in enumerate(sorted(tied | {page.nodes[c].parent for c in tied if c}))}

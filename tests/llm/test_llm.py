@@ -215,3 +215,17 @@ def test_identifiers_recur_without_their_cue_and_back_new_cues(spark):
     for i, text in enumerate(texts):
         want = [(0, m.start(), m.end()) for m in re.finditer(r"n4me-\d|z9-only", text)]
         assert [tuple(s) for s in got[i].found] == want, text
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [
+        '<div class="content has-sidebar">', '<main class="no-sidebar">', '<article class="post category-legal tag-social">', '<div id="page-with-comments">',
+        '<main class="sidebar">', '<div class="overlay"><article>', '<div class="widget">',
+    ],
+)
+def test_wrapper_names_do_not_lose_the_article(spark, opening):
+    text = " ".join(f"This is sentence {i} of a long article, with some more words in it." for i in range(8))
+    page = f'<html><body><nav><a href=/>Home</a> <a href=/b>B</a></nav>%s<p>{text}</p><div class="site-ad">Buy now</div></body></html>'
+    pages = spark.createDataFrame([(1, "u", page % opening)] + [(k, "u", page % "<article>") for k in range(2, 9)], "page_id long, url string, html string")
+    assert {r.text for r in html_extract.extract_pages(pages).collect()} == {text}
