@@ -106,9 +106,9 @@ def _chunks(offsets: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, n
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, bytes): mark tells rows of equal doc_id and different text apart."""
+    """(doc_id, mark, bytes): mark, 64 bits of the text and its length, tells rows of equal doc_id and different text apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("mark"), text.cast("binary").alias("bytes"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("mark"), text.cast("binary").alias("bytes"))
 
 
 def _anchors(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _anchors(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
     weight (2 bits). Of equal second digits in a batch, one row has weight 2; the others, weight 0, need no comparison
     and have a key of their own.
     """
-    schema = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("spot", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("spot", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in joined(batches):
@@ -139,7 +139,7 @@ def _anchors(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
             spot = pa.array(place << 12 | more << 2 | weight)
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), batch["doc_id"].take(rows), batch["mark"].take(rows), spot], schema=schema)
 
-    return map_in_arrow(_bytes(docs), run, "key long, c long, doc_id long, mark int, spot long")
+    return map_in_arrow(_bytes(docs), run, "key long, c long, doc_id long, mark long, spot long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -152,20 +152,25 @@ def _packed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], packed], names=["doc_id", "mark", "packed"])
 
     # The filter drops nothing; with it both joins of the texts have the same input, which is then shuffled once.
-    return map_in_arrow(_bytes(docs), run, "doc_id long, mark int, packed binary").filter("mark IS NOT NULL")
+    return map_in_arrow(_bytes(docs), run, "doc_id long, mark long, packed binary").filter("mark IS NOT NULL")
 
 
 def _windows(texts: DataFrame, threshold: int) -> DataFrame:
-    """(h1, h2j, c): hash of the j-th window of each of the spots (c, place, more) of texts (packed, spots).
+    """(h1, h2j, c): hash of the j-th window of each of the spots (c, place, more) of texts (doc_id, mark, packed, spots).
 
-    The hash has 96 bits: h1 and the bits of h2j above the lowest 16, which hold j.
+    The hash has 96 bits: h1 and the bits of h2j above the lowest 16, which hold j. A merge join brings the rows of one
+    text under one id side by side; one of them stands for all, as their windows repeat whole.
     """
     schema = pa.schema([("h1", pa.int64()), ("h2j", pa.int64()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
+        done = None
         for batch in batches:
-            for packed, spots in zip(batch["packed"].to_pylist(), batch["spots"].to_pylist()):
+            for doc_id, mark, packed, spots in zip(*(batch[k].to_pylist() for k in ("doc_id", "mark", "packed", "spots"))):
+                if (doc_id, mark) == done:
+                    continue
+                done = doc_id, mark
                 data = np.frombuffer(unpack(packed), np.uint8)
                 for lo in range(0, len(spots), 2048):  # a spot covers fewer than 2 * threshold bytes
                     c, place, more = (np.array([s[k] for s in spots[lo : lo + 2048]]) for k in ("c", "place", "more"))
@@ -177,7 +182,7 @@ def _windows(texts: DataFrame, threshold: int) -> DataFrame:
                     h2j = (h2 >> np.uint64(32) << np.uint64(16)).view(np.int64) | j
                     yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2j), pa.array(c[owner])], schema=schema)
 
-    return map_in_arrow(texts.select("packed", "spots"), run, "h1 long, h2j long, c long")
+    return map_in_arrow(texts.select("doc_id", "mark", "packed", "spots"), run, "h1 long, h2j long, c long")
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -206,8 +211,8 @@ def _runs(docs: DataFrame, texts: DataFrame, threshold: int, gram: int) -> DataF
     whole = live.filter("whole").select("doc_id", "mark", F.col("place").alias("start"), end.alias("end"))
 
     spots = live.filter("c IS NOT NULL")
-    wanted = spots.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("c", "place", "more")).alias("spots"))
-    windows = _windows(texts.join(wanted, _same(texts, wanted)), threshold)
+    wanted = spots.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("c", "place", "more")).alias("spots"))
+    windows = _windows(texts.join(wanted, _same(texts, wanted)).select(texts.doc_id, texts.mark, "packed", "spots"), threshold)
     order = Window.partitionBy("h1").orderBy("h2j")
     h2 = lambda x: F.shiftright(x, 16)
     again = equal(h2(F.col("h2j")), h2(F.lag("h2j").over(order))) | equal(h2(F.col("h2j")), h2(F.lead("h2j").over(order)))
@@ -234,7 +239,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     id like others. Texts below threshold bytes stay. Empty input gives no rows.
     """
     texts = _packed(docs)
-    spans = _runs(docs, texts, threshold, gram).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    # Copies of a text under one id have equal spans: as a set, they are bounded by one text.
+    spans = _runs(docs, texts, threshold, gram).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,3 +103,14 @@ def test_all_null_columns(rows):
     n = rows.count()
     assert langid.identify(nulls).count() == simhash.near_duplicates(nulls).count() == mixing.mix(nulls).count() == pii.find(nulls).count() == n
     assert simhash.drop_near_duplicates(nulls).count() == 1 and langid.drop_unidentified(nulls).isEmpty() and mixing.take(nulls).count() >= 0
+
+
+def test_texts_of_one_id_with_equal_short_hashes_stay_apart(spark):
+    wide = spark.range(300_000).select(F.concat(*(F.sha2(F.concat(F.lit(k), F.col("id").cast("string")), 512) for k in "ab")).alias("text"))
+    pairs = wide.groupBy(F.hash("text")).agg(F.collect_list("text").alias("two")).filter("size(two) = 2").collect()
+    assert pairs
+    a, b = pairs[0].two
+    df = spark.createDataFrame([(None, a, "en", "a"), (None, b, "en", "a"), (5, a + "and more", "en", "a")] + [(None, LONG + LONG, "en", "a")] * 40, SCHEMA)
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect()}
+    n = len(LONG + LONG)
+    assert got == {(None, 256, 256, 1), (None, 256, 0, 0), (5, 264, 256, 1), (None, n, n, 1)}
