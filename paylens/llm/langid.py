@@ -127,12 +127,12 @@ def training_fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> Model:
-    """The model of docs' training rows with a non-null lang."""
-    usable = docs.filter(training_fold(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """The model of docs' training rows with a non-null lang and doc_id."""
+    usable = docs.filter(training_fold(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # One row for each language, fewer than the model holds: broadcast, so that rows are told off before any shuffle.
-    # Four times the sample by hash value, then exactly the sample by rank: the ranked rows of a language are bounded.
+    # Four times the sample by hash value of the ids, however many rows each has (their estimated number is near enough), then exactly the sample by rank: the ranked rows of a language are bounded.
     h = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    share = usable.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share"))
+    share = usable.groupBy("lang").agg((F.lit(4.0 * per_language) / F.approx_count_distinct("doc_id")).alias("share"))
     near = usable.select("lang", "doc_id", h.alias("h")).join(F.broadcast(share), "lang").filter(F.col("h") < F.col("share")).drop("share").distinct()
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)

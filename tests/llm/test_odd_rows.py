@@ -114,3 +114,10 @@ def test_texts_of_one_id_with_equal_short_hashes_stay_apart(spark):
     got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect()}
     n = len(LONG + LONG)
     assert got == {(None, 256, 256, 1), (None, 256, 0, 0), (5, 264, 256, 1), (None, n, n, 1)}
+
+
+def test_one_id_on_many_training_rows_does_not_crowd_out_its_language(spark):
+    data = [(8, "le chat noir", "fr", "a")] * 3000 + [(9, "the black cat", "en", "a")] * 3000 + [(None, "die schwarze katze", "de", "a")] * 3000
+    data += [(i, "der graue hund", "de", "a") for i in range(20, 26)] + [(i, "un petit chien gris", "fr", "a") for i in range(30, 36)]
+    got = {r.text: r.lang_pred for r in langid.predict(spark.createDataFrame(data, SCHEMA), langid.fit(spark.createDataFrame(data, SCHEMA), 2)).collect()}
+    assert got["the black cat"] == "en" and got["der graue hund"] == "de" and got["un petit chien gris"] == "fr"
