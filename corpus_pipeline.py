@@ -44,7 +44,7 @@ STAGES = [
     ("sharding", assign_shards),
 ]
 
-#: Language scores and links by bit distance are not SQL; each stage's operator is tested against brute force.
+#: Language scores and links by bit distance are not SQL. The stages' operators are tested one by one (README), run() is not.
 ORACLE_SQL = None
 
 
