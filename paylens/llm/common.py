@@ -60,20 +60,34 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one, on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
-    return _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="run-"))
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="run-")
+    return _own_dirs[app]
+
+
+def stored(df: DataFrame, name: str) -> str:
+    """Path of the rows of df, stored in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete what `stored` wrote and nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, stored in the shared folder: lineage ends here, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
 def text_bytes(value: str | None) -> bytes:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.llm import ann, chat, decontaminate, html_extract, langid, mixing, pii, sharding, simhash, suffix_dedup
+from paylens.llm import ann, bpe, centroids, chat, decontaminate, html_extract, langid, lexical, mixing, pii, sharding, simhash, suffix_dedup
 from paylens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, range(4)), F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(every).alias("spans"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(*centroids.cluster(read(spark, sf_dir, "embeddings")))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids")
+    return bpe.decode(encoded).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,14 +86,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = [
         op1_chat_format, op2_suffix_dedup, op3_simhash, op4_sharding, op5_mixing, op6_html_extract, op7_language_id,
-        op8_decontaminate, op9_nearest, op10_personal_data, pipeline,
+        op8_decontaminate, op9_nearest, op10_personal_data, op11_centroid_clustering, op12_byte_bpe, op13_lexical_search,
+        pipeline,
     ]
     return {q.__name__: q for q in named}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB. Fixed values (names, seeds, sizes) are repeated here on purpose."""
-    return {"op1_chat_format": _CHAT, "op4_sharding": _SHARDING, "op5_mixing": _MIXING, "op8_decontaminate": _LEAKS}
+    return {"op1_chat_format": _CHAT, "op4_sharding": _SHARDING, "op5_mixing": _MIXING, "op8_decontaminate": _LEAKS,
+            "op11_centroid_clustering": _clustering(), "op13_lexical_search": _LEXICAL}
 
 
 _CHAT = r"""
@@ -188,3 +203,57 @@ SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles
 FROM ds JOIN si USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= greatest(ceil(0.8 * n_shingles - 1e-9), 1)
 """
+
+
+def _clustering(rounds: int = 5) -> str:
+    """One block of common table expressions for each assignment and each move of the centroids."""
+
+    def nearest(n: int) -> str:
+        return f"""a{n} AS (
+    SELECT r, vec_id, v, (best).k AS cluster, (best).d AS distance FROM (
+        SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v,
+            min({{d: list_sum([(v[i] - c[i]) * (v[i] - c[i]) FOR i IN range(1, 65)])::BIGINT, k: k}}) AS best
+        FROM kept, c{n} GROUP BY r))"""
+
+    def moved(n: int) -> str:
+        return f"""c{n} AS (
+    SELECT o.k, coalesce(m.c, o.c) AS c FROM c{n - 1} o LEFT JOIN (
+        SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+            SELECT cluster, i, count(*)::BIGINT AS n, sum(v[i])::BIGINT AS s FROM a{n - 1}, range(1, 65) t(i) GROUP BY cluster, i
+        ) GROUP BY cluster
+    ) m ON m.cluster = o.k)"""
+
+    steps = [nearest(0), *(part for n in range(1, rounds + 1) for part in (moved(n), nearest(n)))]
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (
+    SELECT (row_number() OVER (ORDER BY h NULLS LAST, v) - 1)::INTEGER AS k, v AS c FROM (SELECT sha256('2:' || vec_id::VARCHAR) AS h, v FROM kept)
+    ORDER BY k LIMIT 40
+), {", ".join(steps)}
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+    sha256(list_aggregate(c, 'string_agg', ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON k = cluster
+"""
+
+
+_LEXICAL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+    SELECT DISTINCT item_id, list_sort(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), corpus AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+asked AS (SELECT item_id, w, term, count(*) AS times FROM (SELECT item_id, w, unnest(w) AS term FROM i) GROUP BY ALL),
+posted AS (
+    SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM posted, corpus GROUP BY term),
+scored AS (
+    SELECT item_id, w, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN posted USING (term), corpus GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, w ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
