@@ -3,35 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paylens.functions.columns import r6
+from paylens.functions.columns import name, r6
 from paylens.operators.quantiles import grouped_percentiles
 
 
-def box_stats(df: DataFrame, key: str, groups: Sequence[str], measure: str, method: str = "two_phase") -> DataFrame:
-    """Quartiles, whiskers and outlier count of ``measure`` for each of ``groups``.
+def quartiles(rows: DataFrame, keys: Sequence[str], measure: str, method: str = "two_phase", few_groups: bool = False) -> DataFrame:
+    wanted = {"q1": (measure, 0.25), "median": (measure, 0.5), "q3": (measure, 0.75)}
+    return grouped_percentiles(rows, keys, wanted, method=method, few_groups=few_groups)
 
-    Whiskers reach to the most extreme values within 1.5 inter-quartile ranges of
-    the box and never end inside it. The fences joined back to the rows are one
-    row per listed group, so their broadcast has a known size.
-    """
-    rows = df.select(key, F.col(measure).alias("_x"))
-    wanted = {"q1": ("_x", 0.25), "median": ("_x", 0.5), "q3": ("_x", 0.75)}
-    quartiles = grouped_percentiles(rows.where(F.col(key).isin(list(groups))), [key], wanted, method=method)
+
+def box_columns(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Box statistics by group of rows that carry ``n`` and quartiles of their group beside their value ``_x``."""
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    fences = quartiles.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
-    inside = F.when(F.col("_x").between(F.col("_low"), F.col("_high")), F.col("_x"))
-    outside = (F.col("_x") < F.col("_low")) | (F.col("_x") > F.col("_high"))
-    box = (
-        rows.join(F.broadcast(fences), key)
-        .groupBy(key, "n", "q1", "median", "q3")
-        .agg(F.min(inside).alias("_min"), F.max(inside).alias("_max"), F.count_if(outside).alias("n_outliers"))
+    low, high = F.col("q1") - reach, F.col("q3") + reach
+    inside = F.when(F.col("_x").between(low, high), F.col("_x"))
+    outside = (F.col("_x") < low) | (F.col("_x") > high)
+    box = rows.groupBy(*map(name, keys), "n", "q1", "median", "q3").agg(
+        F.min(inside).alias("_min"), F.max(inside).alias("_max"), F.count_if(outside).alias("n_outliers")
     )
     return box.select(
-        key,
+        *map(name, keys),
         "n",
         *[r6(F.col(c)).alias(c) for c in ("q1", "median", "q3")],
         r6(F.least("q1", "_min")).alias("whisker_lo"),
@@ -40,6 +36,24 @@ def box_stats(df: DataFrame, key: str, groups: Sequence[str], measure: str, meth
     )
 
 
+def boxes_of(rows: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Box statistics from rows and the quartiles of their groups, which are few enough to be broadcast."""
+    named = found.select(*[F.col(name(k)).alias(f"_k{i}") for i, k in enumerate(keys)], "n", "q1", "median", "q3")
+    same = reduce(Column.__and__, [F.col(name(k)).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return box_columns(rows.join(F.broadcast(named), same), keys)
+
+
+def box_stats(df: DataFrame, key: str, groups: Sequence[str], measure: str, method: str = "two_phase") -> DataFrame:
+    """Quartiles, whiskers and outlier count of ``measure`` for each of ``groups``.
+
+    Whiskers reach to the most extreme values within 1.5 inter-quartile ranges of
+    the box and never end inside it. The fences joined back to the rows are one
+    row per listed group, so their broadcast has a known size.
+    """
+    rows = df.select(key, F.col(measure).alias("_x")).where(F.col(key).isin(list(groups)))
+    return boxes_of(rows, quartiles(rows, [key], "_x", method, few_groups=True), [key])
+
+
 def histogram(df: DataFrame, col: str, bins: int, min_n: int) -> DataFrame:
     """Equal-width, right-closed bins: ``bin, x_lo, x_hi, n``, the mean and the total.
 

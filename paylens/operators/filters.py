@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from paylens.params import CompanyFilter, PostingFilter, Profile
 
 
-def _equals(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
+def select_equal(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """Rows with the wanted values; ``None`` means any."""
     for col, value in wanted.items():
         if value is not None:
             df = df.where(F.col(col) == value)
@@ -22,11 +23,19 @@ def apply_global(df: DataFrame, f: PostingFilter) -> DataFrame:
         df = df.where(F.col("avg_salary") >= f.lo)
     if f.hi is not None:
         df = df.where(F.col("avg_salary") <= f.hi)
-    return _equals(df, {"role": f.role, "sector": f.sector, "seniority": f.seniority})
+    return select_equal(df, {"role": f.role, "sector": f.sector, "seniority": f.seniority})
+
+
+def global_matches(f: PostingFilter) -> Column:
+    """The posting filter as one predicate; unknown counts as no match."""
+    wanted = {"role": f.role, "sector": f.sector, "seniority": f.seniority}
+    terms = [F.col("avg_salary") >= f.lo] * (f.lo is not None) + [F.col("avg_salary") <= f.hi] * (f.hi is not None)
+    terms += [F.col(c) == v for c, v in wanted.items() if v is not None]
+    return F.coalesce(reduce(lambda a, b: a & b, terms, F.lit(True)), F.lit(False))
 
 
 def apply_company(df: DataFrame, f: CompanyFilter) -> DataFrame:
-    return _equals(df, {"size": f.size, "ownership": f.ownership})
+    return select_equal(df, {"size": f.size, "ownership": f.ownership})
 
 
 def profile_matches(p: Profile) -> Column:
@@ -39,7 +48,7 @@ def profile_matches(p: Profile) -> Column:
 
 def apply_profile(df: DataFrame, p: Profile) -> DataFrame:
     wanted = {"role": p.role, "job_state": p.state, "seniority": p.seniority}
-    return _equals(df, {**wanted, **dict.fromkeys(p.skills, 1)})
+    return select_equal(df, {**wanted, **dict.fromkeys(p.skills, 1)})
 
 
 def require_rows(df: DataFrame, at_least: int, counted: str = "n") -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paylens.functions.columns import r6
-from paylens.operators.quantiles import grouped_percentiles
+from paylens.operators.quantiles import grouped_percentiles, percentiles_if
 
 
 def median_by(
@@ -17,24 +17,36 @@ def median_by(
     measure: str,
     min_n: int = 0,
     method: str = "two_phase",
+    few_groups: bool = False,
 ) -> DataFrame:
-    """``keys, median, n`` for the groups of at least ``min_n`` rows."""
+    """``keys, median, n`` for the groups of at least ``min_n`` rows; ``few_groups``: the keys come from fixed lists."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    out = grouped_percentiles(df, keys, {"median": (measure, 0.5)}, method=method)
+    out = grouped_percentiles(df, keys, {"median": (measure, 0.5)}, method=method, few_groups=few_groups)
     out = out.where(F.col("n") >= min_n) if min_n else out
     return out.select(*keys, r6(F.col("median")).alias("median"), "n")
 
 
-def range_by(df: DataFrame, key: str, low: str, mid: str, high: str, method: str = "two_phase") -> DataFrame:
+def median_if(df: DataFrame, measure: str, populations: Mapping[str, Column], keys: str | Sequence[str] = ()) -> DataFrame:
+    """``keys, population, median, n`` of the rows that meet each condition; the conditions may overlap.
+
+    However many there are, it takes the scans of one median. Populations without rows have no result row.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    out = percentiles_if(df, populations, {"median": (measure, 0.5)}, keys=keys)
+    return out.select(*keys, "population", r6(F.col("median")).alias("median"), "n")
+
+
+def range_by(df: DataFrame, key: str, low: str, mid: str, high: str, method: str = "two_phase", few_groups: bool = False) -> DataFrame:
     """Medians of three measures per group: ``key, lo, mid, hi, n``."""
     wanted = {"lo": (low, 0.5), "mid": (mid, 0.5), "hi": (high, 0.5)}
-    out = grouped_percentiles(df, [key], wanted, method=method)
+    out = grouped_percentiles(df, [key], wanted, method=method, few_groups=few_groups)
     return out.select(key, *[r6(F.col(c)).alias(c) for c in wanted], "n")
 
 
-def share_of_total(df: DataFrame, n: str = "n") -> DataFrame:
-    """Percentage of the column's total, in full and as displayed (one digit)."""
-    pct = F.col(n) * 100.0 / F.sum(n).over(Window.partitionBy())
+def share_of_total(df: DataFrame, n: str = "n", large: bool = False) -> DataFrame:
+    """Percentage of the column's total, in full and as displayed (one digit); ``large``: for any number of rows."""
+    total = df.agg(F.sum(n).alias("_total")).scalar() if large else F.sum(n).over(Window.partitionBy())
+    pct = F.col(n) * 100.0 / total
     return df.withColumns({"pct": r6(pct), "pct_1dp": F.bround(pct, 1)})
 
 

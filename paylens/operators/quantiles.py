@@ -19,15 +19,19 @@ then 0.0003 % wide, for one more scan. Rows outside open bins are told off by a
 open bins are hashed: at most ``CELLS`` numbers, whatever the number of groups; what a shared
 cell lets through is dropped when counts meet the open bins. Nothing depends on which group holds most
 of the rows. The operator is meant for few groups of many rows: with small groups,
-a row's count is no smaller than the row.
+a row's count is no smaller than the row (``operators.small_groups`` serves those).
+
+Overlapping populations (``percentiles_if``) share the scans: rows are counted by a bit mask of their
+memberships, and counts, not rows, are dealt to the populations.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from math import log
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylens.functions.columns import literal, name
@@ -41,6 +45,7 @@ DEFAULT_LEVELS = 1
 MAX_LEVELS = 3
 BIN_LIMIT = 2**40  # above the finest bin number of the largest double
 NULL_BIN = f"{-BIN_LIMIT}L"
+MAX_POPULATIONS = 62
 
 
 def _bin(levels: int) -> str:
@@ -108,11 +113,14 @@ def grouped_percentiles(
     totals: Mapping[str, str] | None = None,
     method: str = "two_phase",
     levels: int | None = None,
+    few_groups: bool | None = None,
 ) -> DataFrame:
     """``keys``, row count ``n``, one column per wanted ``(column, p)`` and the totals.
 
     ``totals`` are numeric SQL expressions summed over each group in the same scans.
     Without keys there is exactly one row, also for empty input.
+    ``few_groups`` says that the keys come from fixed lists: the open bins are then few and meet the rows
+    themselves, which saves a join. Without keys that is so by itself.
     ``method="exact"`` uses Spark's ``percentile``, which buffers each group's
     distinct values in one task: for small tables.
     """
@@ -125,28 +133,81 @@ def grouped_percentiles(
         )
     if method != "two_phase":
         raise ValueError(f"unknown method: {method}")
+    return _two_phase(df, keys, wanted, totals, levels, not keys if few_groups is None else few_groups, [])
+
 
+def percentiles_if(
+    df: DataFrame,
+    populations: Mapping[str, Column],
+    wanted: Mapping[str, tuple[str, float]],
+    totals: Mapping[str, str] | None = None,
+    keys: Sequence[str] = (),
+    levels: int | None = None,
+) -> DataFrame:
+    """Quantiles of overlapping populations: ``keys, population, n``, the wanted ones and the totals.
+
+    ``populations`` maps a name to a condition; unknown is no member. All are answered by the scans of one
+    quantile: a row is counted once, in the bins of its bit mask of conditions, and only these counts are dealt to the
+    populations of the mask. A population without rows has no result row, nor has one without rows in a group of
+    ``keys``. At most 62 populations.
+    """
+    names = list(populations)
+    if not 0 < len(names) <= MAX_POPULATIONS:
+        raise ValueError(f"1 to {MAX_POPULATIONS} populations are possible, not {len(names)}")
+    conditions = list(populations.values())
+    bits = [F.when(condition, F.lit(1 << i).cast("long")).otherwise(0) for i, condition in enumerate(conditions)]
+    # Rows of no population go before they are counted; as plain conditions, so that a scan can skip them.
+    rows = df.where(reduce(Column.__or__, conditions)).withColumn("_mask", reduce(Column.__add__, bits))
+    found = _two_phase(rows, keys, wanted, dict(totals or {}), levels, False, names)
+    label = F.element_at(F.array(*map(F.lit, names)), F.col("_population") + 1)
+    return found.select(*map(name, keys), label.alias("population"), "n", *wanted, *(totals or {}))
+
+
+def _dealt(counts: DataFrame, names: Sequence[str], by: Sequence[str], totals: Sequence[str]) -> DataFrame:
+    """Counts by mask as counts by population."""
+    if not names:
+        return counts
+    members = f"filter(sequence(0, {len(names) - 1}), i -> getbit(_mask, i) = 1)"
+    kept = [c for c in counts.columns if c != "_mask"]
+    each = counts.selectExpr(*map(name, kept), f"explode({members}) AS _population")
+    sums = ["_rows", *totals]
+    ends = [f"{f}({c}) AS {c}" for f, c in (("min", "_value"), ("max", "_top")) if c not in by and c in kept]
+    return each.groupBy(*by, "_population").agg(*[F.expr(f"sum({c}) AS {c}") for c in sums], *map(F.expr, ends))
+
+
+def _two_phase(
+    df: DataFrame,
+    keys: Sequence[str],
+    wanted: Mapping[str, tuple[str, float]],
+    totals: Mapping[str, str],
+    levels: int | None,
+    few_groups: bool,
+    populations: Sequence[str],
+) -> DataFrame:
+    """The scans of the module's description; with populations, rows carry ``_mask`` and results ``_population``."""
     levels = levels or int(df.sparkSession.conf.get(LEVELS_SETTING, str(DEFAULT_LEVELS)))
     if not 1 <= levels <= MAX_LEVELS:
         raise ValueError(f"levels must be 1 to {MAX_LEVELS}, not {levels}")
 
     cols = list(dict.fromkeys(c for c, _ in wanted.values()))
     many = len(cols) > 1
-    dims = [*keys, "_measure"] if many else list(keys)
+    counted = [*keys, *["_measure"] * many]  # what a row is counted by, besides its mask
+    masked = [*counted, *["_mask"] * bool(populations)]
+    group_keys = [*keys, *["_population"] * bool(populations)]
+    dims = [*counted, *["_population"] * bool(populations)]
     counts = [F.expr("count(1) AS _rows"), F.expr("min(_value) AS _value"), F.expr("max(_value) AS _top")]
     ends = [f"{f}({_position(p)})" for p in sorted({p for _, p in wanted.values()}) for f in ("floor", "ceil")]
     wanted_here = f"({' OR '.join(map(_covers, ends))})"
     shown = [*map(name, dims), "_value", "_rows", "_before", "_valid"]
+    sums = [f"_t_{out}" for out in totals]
 
-    rows = _measures(df, keys, cols, totals, levels)
+    rows = _measures(df, [*keys, *["_mask"] * bool(populations)], cols, totals, levels)
     group = f"PARTITION BY {', '.join(map(name, dims))}" if dims else ""
-    bins = (
-        rows.groupBy(*dims, "_bin")
-        .agg(*counts, *[F.expr(f"sum(_t_{out}) AS _t_{out}") for out in totals])
-        .selectExpr("*", f"sum({COUNTED}) OVER ({group}) AS _valid", _ranked(dims, "_bin"))
+    in_bins = rows.groupBy(*masked, "_bin").agg(*counts, *[F.expr(f"sum({t}) AS {t}") for t in sums])
+    bins = _dealt(in_bins, populations, [*counted, "_bin"], sums).selectExpr(
+        "*", f"sum({COUNTED}) OVER ({group}) AS _valid", _ranked(dims, "_bin")
     )
     # All bins count for n and the totals; those with one value may hold a wanted one.
-    sums = [f"_t_{out}" for out in totals]
     steps = bins.selectExpr(*shown, "_value = _top AS _known", "_rows AS _n", *sums)
     for level in range(levels):
         last = level + 1 == levels
@@ -155,20 +216,32 @@ def grouped_percentiles(
         open_bins = bins.where(f"_value < _top AND {wanted_here}{all_used}").selectExpr(
             *[f"{name(d)} AS _k{i}" for i, d in enumerate(dims)], "_bin AS _in", "_before AS _base", "_valid"
         )
-        keyed = open_bins.selectExpr(*[f"_k{i} AS {name(d)}" for i, d in enumerate(dims)], "_in AS _bin")
-        cells = F.broadcast(keyed.selectExpr(_cell(dims)).distinct())
-        rows = rows.selectExpr("*", _cell(dims)).join(cells, "_cell", "left_semi").drop("_cell")
+
+        def same(of: Sequence[str]):
+            met = F.col("_bin") == F.col("_in")
+            for d in of:
+                met = met & F.col(name(d)).eqNullSafe(F.col(f"_k{dims.index(d)}"))
+            return met
+
+        bounds = []
+        if few_groups:  # a bin for each end of each quantile of each group
+            rows, bounds = rows.join(F.broadcast(open_bins), same(dims)), ["_base", "_valid"]
+        else:
+            keyed = open_bins.selectExpr(*[f"_k{dims.index(d)} AS {name(d)}" for d in counted], "_in AS _bin")
+            cells = F.broadcast(keyed.selectExpr(_cell(counted)).distinct())
+            rows = rows.selectExpr("*", _cell(counted)).join(cells, "_cell", "left_semi").drop("_cell")
         if last:
-            parts = rows.groupBy(*dims, "_bin", "_value").agg(F.expr("count(1) AS _rows")).withColumn("_top", F.col("_value"))
+            parts = rows.groupBy(*masked, "_bin", "_value", *bounds).agg(F.expr("count(1) AS _rows"))
+            parts = _dealt(parts, populations, [*counted, "_bin", "_value"], []).withColumn("_top", F.col("_value"))
         else:
             rows = rows.selectExpr("*", f"{_bin_at(levels, level + 1)} AS _part")
-            parts = rows.groupBy(*dims, "_bin", "_part").agg(*counts)
-            rows = rows.drop("_bin").withColumnRenamed("_part", "_bin")
-        same = F.col("_bin") == F.col("_in")
-        for i, d in enumerate(dims):
-            same = same & F.col(name(d)).eqNullSafe(F.col(f"_k{i}"))
+            parts = rows.groupBy(*masked, "_bin", "_part", *bounds).agg(*counts)
+            parts = _dealt(parts, populations, [*counted, "_bin", "_part"], [])
+            rows = rows.drop("_bin", "_in", *bounds, *[f"_k{i}" for i in range(len(dims))]).withColumnRenamed("_part", "_bin")
+        if not few_groups:
+            parts = parts.join(open_bins, same(dims))
         order = "_value" if last else "_part"
-        parts = parts.join(open_bins, same).selectExpr("*", _ranked([*dims, "_bin"], order, "_base"))
+        parts = parts.selectExpr("*", _ranked([*dims, "_bin"], order, "_base"))
         if not last:
             parts = parts.drop("_bin").withColumnRenamed("_part", "_bin")
         held = parts.where(wanted_here)
@@ -188,8 +261,8 @@ def grouped_percentiles(
     first = "_measure = 0" if many else "true"
     found.append(f"coalesce(sum(CASE WHEN {first} THEN _n END), 0L) AS n")
     found += [f"sum(CASE WHEN {first} THEN _t_{out} END) AS {out}" for out in totals]
-    answer = steps.groupBy(*keys).agg(*map(F.expr, found))
-    return answer.selectExpr(*map(name, keys), "n", *interpolated, *totals)
+    answer = steps.groupBy(*group_keys).agg(*map(F.expr, found))
+    return answer.selectExpr(*map(name, group_keys), "n", *interpolated, *totals)
 
 
 def two_phase_percentile(df: DataFrame, key: str, col: str, ps: Mapping[str, float]) -> DataFrame:

@@ -8,20 +8,23 @@ stored it, which pays off when many results are wanted from one input.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paylens.functions.columns import avg_if, level_rank, or_na, r6, text_round
 from paylens.model import AGE_LEVELS, LOCAL, LOCALITIES, REMOTE, SENIORITY_LEVELS, SIZE_LEVELS, SKILLS
-from paylens.operators import cleaning, distribution, grouping, regression, skills
+from paylens.operators import cleaning, distribution, grouping, itemsets, regression, skills, small_groups
 from paylens.operators.filters import (
     apply_company,
     apply_global,
     apply_profile,
+    global_matches,
     profile_matches,
     require_rows,
 )
-from paylens.operators.quantiles import grouped_percentiles
+from paylens.operators.quantiles import grouped_percentiles, percentiles_if
 from paylens.operators.ranking import flag_max, ordinal, top_k
 from paylens.params import CompanyFilter, PostingFilter, Profile
 from paylens.sources.star import postings_from_star
@@ -41,6 +44,8 @@ STATES_SHOWN = 15
 SECTORS_SHOWN = 8
 HISTOGRAM_BINS = 20
 BAND_POINTS = 80
+MIN_SHARED = 2
+SKILL_PROFILES = {"analyst": ["Python", "Excel"], "engineer": ["Python", "Spark", "AWS"], "all": list(SKILLS.values())}
 
 
 def postings(spark: SparkSession, source: str | DataFrame) -> DataFrame:
@@ -104,12 +109,12 @@ def market_kpis(spark, source, params=ALL_POSTINGS) -> DataFrame:
 
 def salary_range_by_role(spark, source, params=ALL_POSTINGS) -> DataFrame:
     g = _global(spark, source, params)
-    return ordinal(grouping.range_by(g, "role", "min_salary", SALARY, "max_salary"), "mid", "role")
+    return ordinal(grouping.range_by(g, "role", "min_salary", SALARY, "max_salary", few_groups=True), "mid", "role")
 
 
 def top_role(spark, source, params=ALL_POSTINGS) -> DataFrame:
     g = _global(spark, source, params)
-    ranges = grouping.range_by(g, "role", "min_salary", SALARY, "max_salary")
+    ranges = grouping.range_by(g, "role", "min_salary", SALARY, "max_salary", few_groups=True)
     return top_k(ranges, "mid", "role", 1, ties=False).select("role", "mid", "hi")
 
 
@@ -119,13 +124,13 @@ def role_share(spark, source, params=ALL_POSTINGS) -> DataFrame:
 
 
 def seniority_share(spark, source, params=ALL_POSTINGS) -> DataFrame:
-    medians = grouping.median_by(_global(spark, source, params), "seniority", SALARY)
+    medians = grouping.median_by(_global(spark, source, params), "seniority", SALARY, few_groups=True)
     rank = level_rank("seniority", SENIORITY_LEVELS).cast("bigint")
     return grouping.share_of_total(medians).withColumn("seniority_rank", rank)
 
 
 def seniority_median(spark, source, params=ALL_POSTINGS) -> DataFrame:
-    return grouping.median_by(_global(spark, source, params), "seniority", SALARY).drop("n")
+    return grouping.median_by(_global(spark, source, params), "seniority", SALARY, few_groups=True).drop("n")
 
 
 def salary_box_by_seniority(spark, source, params=ALL_POSTINGS) -> DataFrame:
@@ -174,7 +179,7 @@ def salary_box_by_locality(spark, source, params=ALL_POSTINGS) -> DataFrame:
 
 
 def locality_gap(spark, source, params=ALL_POSTINGS) -> DataFrame:
-    medians = grouping.median_by(_global(spark, source, params), "locality", SALARY)
+    medians = grouping.median_by(_global(spark, source, params), "locality", SALARY, few_groups=True)
     of = lambda label: F.max(F.when(F.col("locality") == label, F.col("median")))
     both = medians.agg(
         of(LOCAL).alias("local_median"),
@@ -192,7 +197,7 @@ def locality_gap(spark, source, params=ALL_POSTINGS) -> DataFrame:
 
 
 def locality_by_role(spark, source, params=ALL_POSTINGS) -> DataFrame:
-    return grouping.median_by(_global(spark, source, params), ["role", "locality"], SALARY).drop("n")
+    return grouping.median_by(_global(spark, source, params), ["role", "locality"], SALARY, few_groups=True).drop("n")
 
 
 # ---------------------------------------------------------------- skills
@@ -213,6 +218,14 @@ def skill_premium(spark, source, params=ALL_POSTINGS) -> DataFrame:
     return ordinal(stats, "premium", "skill_pos").select("skill", "premium", "dir", "is_best", "pos")
 
 
+def skill_median_premium(spark, source, params=ALL_POSTINGS) -> DataFrame:
+    """What the median posting that asks for a skill pays above the median one that does not."""
+    found = require_rows(skills.median_premium(_global(spark, source, params), SKILLS, SALARY), 1)
+    found = flag_max(found, "premium", "is_best").withColumn("dir", skills.sign_label(F.col("premium")))
+    sides = ["median_with", "median_without", "n_with", "n_without"]
+    return ordinal(found, "premium", "skill_pos").select("skill", *sides, "premium", "dir", "is_best", "pos")
+
+
 def top_skill_demand(spark, source, params=ALL_POSTINGS) -> DataFrame:
     stats = _skill_stats(spark, source, params)
     return top_k(stats, "demand", "skill_pos", 1, ties=False).select("skill", "demand")
@@ -243,7 +256,7 @@ def skill_cooccurrence(spark, source, params=ALL_POSTINGS) -> DataFrame:
 
 def _median_by_level(df: DataFrame, col: str, levels: list[str], rank: str) -> DataFrame:
     known = df.where(F.col(col).isNotNull())
-    medians = flag_max(grouping.median_by(known, col, SALARY), "median", "is_peak")
+    medians = flag_max(grouping.median_by(known, col, SALARY, few_groups=True), "median", "is_peak")
     return medians.withColumn(rank, level_rank(col, levels).cast("bigint"))
 
 
@@ -301,6 +314,52 @@ def rating_density(spark, source, params=ALL_COMPANIES) -> DataFrame:
     return require_rows(counted, MIN_FOR_RATING, "_rated").drop("_rated")
 
 
+# Results with a row for each of very many keys: no task and no window sees all of them.
+
+
+def salary_range_by_company(spark, source, params=ALL_POSTINGS) -> DataFrame:
+    wanted = {"lo": ("min_salary", 0.5), "mid": (SALARY, 0.5), "hi": ("max_salary", 0.5)}
+    found = small_groups.percentiles(_global(spark, source, params), ["company_name"], wanted)
+    found = found.select("company_name", *[r6(F.col(c)).alias(c) for c in wanted], "n")
+    return ordinal(found, "mid", "company_name", large=True)
+
+
+def salary_box_by_company(spark, source, params=ALL_POSTINGS) -> DataFrame:
+    found = small_groups.boxes(_global(spark, source, params), ["company_name"], SALARY)
+    return found.withColumns({w: F.round(w, 2) for w in ("whisker_lo", "whisker_hi")})
+
+
+def company_share(spark, source, params=ALL_POSTINGS) -> DataFrame:
+    counts = _global(spark, source, params).groupBy("company_name").agg(F.count(F.lit(1)).alias("n"))
+    flagged = flag_max(grouping.share_of_total(counts, large=True), "n", large=True)
+    return ordinal(flagged, "n", "company_name", large=True)
+
+
+def top_companies(spark, source, params=ALL_POSTINGS) -> DataFrame:
+    counts = _global(spark, source, params).groupBy("company_name").agg(F.count(F.lit(1)).alias("n"))
+    return top_k(counts, "n", "company_name", STATES_SHOWN, large=True)
+
+
+def sector_cooccurrence(spark, source, params=ALL_POSTINGS) -> DataFrame:
+    """Sectors for which the same companies hire in the same state, and how often."""
+    return itemsets.cooccurrence(_global(spark, source, params), ["company_name", "job_state"], "sector", MIN_SHARED)
+
+
+def skill_pairs(postings: DataFrame, owners: Sequence[str]) -> DataFrame:
+    """``owners, skill`` in long form: a row for each skill that a posting asks for."""
+    asked = [F.when(F.col(s) == 1, F.lit(label)) for s, label in SKILLS.items()]
+    return postings.select(*owners, F.explode(F.array_compact(F.array(*asked))).alias("skill"))
+
+
+def skill_profile_holders(spark, source, params=ALL_POSTINGS, profiles=SKILL_PROFILES) -> DataFrame:
+    """Companies and sectors whose postings ask for all skills of a profile."""
+    owners = ["company_name", "sector"]
+    pairs = skill_pairs(_global(spark, source, params), owners)
+    rows = [(profile, skill) for profile, held in profiles.items() for skill in held]
+    wanted = spark.createDataFrame(rows, "profile string, skill string")
+    return itemsets.holders(pairs, owners, "skill", wanted, "profile")
+
+
 # ---------------------------------------------------------------- profile
 
 
@@ -342,28 +401,67 @@ def _money(c: Column, digits: int = 0) -> Column:
 
 
 def kpi_labels(spark, source, params=ALL_POSTINGS, profile=DEFAULT_PROFILE) -> DataFrame:
-    """The formatted headline texts; a text without data reads ``N/A``."""
+    """The formatted headline texts; a text without data reads ``N/A``.
+
+    The market and the profile are two populations of one quantile, whose scans carry the sums of all means along.
+    """
     c = F.col
     range_text = lambda low, high: F.concat(_money(low), F.lit(" – "), _money(high))
+    with_note = lambda name, note: F.concat(name, F.lit(" ("), note, F.lit(")"))
+    percent = lambda v, digits: F.concat(text_round(v, digits), F.lit("%"))
+
+    # Every mean as a sum and a count.
+    means = {"spread": "sal_spread", "pay": SALARY}
+    means |= {f"{place}_pay": f"CASE WHEN same_state = {v} THEN {SALARY} END" for place, v in (("local", 1), ("remote", 0))}
+    means |= {f"share_{s}": f"{s} * 100.0D" for s in SKILLS}
+    means |= {f"pay_{s}_{v}": f"CASE WHEN {s} = {v} THEN {SALARY} END" for s in SKILLS for v in (0, 1)}
+    totals = {f"_s_{m}": expr for m, expr in means.items()} | {f"_c_{m}": f"CAST({expr} IS NOT NULL AS bigint)" for m, expr in means.items()}
+    wanted = {"q1": (SALARY, 0.25), "median": (SALARY, 0.5), "q3": (SALARY, 0.75), "low": ("min_salary", 0.5), "high": ("max_salary", 0.5)}
+    populations = {"market": global_matches(params), "profile": profile_matches(profile)}
+    found = percentiles_if(postings(spark, source), populations, wanted, totals)
+
+    def of(population):
+        one = found.select(F.struct("*").alias("_f")).agg(F.max(F.when(c("_f.population") == population, c("_f"))).alias("_f")).select("_f.*")
+        mean = {m: F.try_divide(c(f"_s_{m}"), c(f"_c_{m}")) for m in means}
+        return one.select(F.coalesce("n", F.lit(0)).alias("n"), *[r6(c(q)).alias(q) for q in wanted], *[m.alias(out) for out, m in mean.items()])
+
+    def best(values):
+        ranked = [F.struct(r6(v).alias("v"), F.lit(-i).alias("order"), F.lit(label).alias("skill")) for i, (label, v) in enumerate(values.items())]
+        return F.array_max(F.array(*ranked))
+
+    demand = best({label: c(f"share_{s}") for s, label in SKILLS.items()})
+    prized = best({label: c(f"pay_{s}_1") - c(f"pay_{s}_0") for s, label in SKILLS.items()})
     market = _labels(
-        market_kpis(spark, source, params),
+        of("market").withColumns({"top": demand, "prized": prized}),
         {
             "postings": F.format_number("n", 0),
             "median_salary": _money(c("median"), 1),
             "middle_half": range_text(c("q1"), c("q3")),
-            "avg_spread": _money(c("avg_spread"), 1),
+            "avg_spread": _money(r6(c("spread")), 1),
+            "local_avg": _money(c("local_pay"), 1),
+            "remote_avg": _money(c("remote_pay"), 1),
+            "top_skill_demand": with_note(c("top.skill"), F.concat(percent(c("top.v"), 0), F.lit(" of jobs"))),
+            "top_skill_premium": with_note(c("prized.skill"), F.concat(F.lit("+"), _money(c("prized.v"), 1))),
+            "python_share": percent(c("share_python_yn"), 1),
+            "excel_share": percent(c("share_excel"), 1),
+        },
+    )
+    fit = _labels(
+        of("profile"),
+        {
+            "profile_matches": F.format_number("n", 0),
+            "profile_avg": _money(r6(c("pay")), 1),
+            "profile_range": range_text(c("low"), c("high")),
         },
     )
 
     # The smallest (descending metric, null flag, state) is the winner of top_k(..., 1).
-    g = _global(spark, source, params)
     state_key = [c("job_state").isNull().alias("unknown"), c("job_state").alias("state")]
     enough = c("n") >= MIN_PER_STATE
-    states = grouping.median_by(g, "job_state", SALARY).agg(
+    states = grouping.median_by(_global(spark, source, params), "job_state", SALARY).agg(
         F.min(F.when(enough, F.struct((-c("median")).alias("m"), *state_key))).alias("paying"),
         F.min(F.struct((-c("n")).alias("m"), *state_key)).alias("busy"),
     )
-    with_note = lambda name, note: F.concat(name, F.lit(" ("), note, F.lit(")"))
     states = _labels(
         states,
         {
@@ -372,46 +470,10 @@ def kpi_labels(spark, source, params=ALL_POSTINGS, profile=DEFAULT_PROFILE) -> D
             "busiest_state": with_note(F.when(c("busy.unknown"), "NA").otherwise(c("busy.state")), F.concat((-c("busy.m")).cast("string"), F.lit(" jobs"))),
         },
     )
-
-    def best(flag_value):
-        return F.array_max(
-            F.array(
-                *[
-                    F.struct(r6(c(f"{flag_value}_{s}")).alias("v"), F.lit(-i).alias("order"), F.lit(name).alias("skill"))
-                    for i, (s, name) in enumerate(SKILLS.items())
-                ]
-            )
-        )
-
-    one_row = g.agg(
-        *_locality_means(),
-        *[skills.demand(s).alias(f"demand_{s}") for s in SKILLS],
-        *[skills.premium(s, SALARY).alias(f"premium_{s}") for s in SKILLS],
-    ).withColumns({"top": best("demand"), "prized": best("premium")})
-    percent = lambda v, digits: F.concat(text_round(v, digits), F.lit("%"))
-    means = _labels(
-        one_row,
-        {
-            "local_avg": _money(c("local_avg"), 1),
-            "remote_avg": _money(c("remote_avg"), 1),
-            "top_skill_demand": with_note(c("top.skill"), F.concat(percent(c("top.v"), 0), F.lit(" of jobs"))),
-            "top_skill_premium": with_note(c("prized.skill"), F.concat(F.lit("+"), _money(c("prized.v"), 1))),
-            "python_share": percent(c("demand_python_yn"), 1),
-            "excel_share": percent(c("demand_excel"), 1),
-        },
-    )
-    fit = _labels(
-        profile_summary(spark, source, profile),
-        {
-            "profile_matches": F.format_number("n", 0),
-            "profile_avg": _money(c("avg"), 1),
-            "profile_range": range_text(c("lo"), c("hi")),
-        },
-    )
-    return market.unionByName(states).unionByName(means).unionByName(fit)
+    return market.unionByName(states).unionByName(fit)
 
 
 def salary_quantiles_two_phase(spark, source, params=ALL_POSTINGS) -> DataFrame:
     wanted = {"q1": (SALARY, 0.25), "median": (SALARY, 0.5), "q3": (SALARY, 0.75)}
-    found = grouped_percentiles(_global(spark, source, params), ["role"], wanted, method="two_phase")
+    found = grouped_percentiles(_global(spark, source, params), ["role"], wanted, method="two_phase", few_groups=True)
     return found.select("role", *[r6(F.col(q)).alias(q) for q in wanted])

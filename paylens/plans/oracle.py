@@ -276,12 +276,36 @@ LABELS = f"""
   SELECT kpi, coalesce(label, 'N/A') AS label FROM l"""
 
 
+MEDIAN_STATS = "ms AS (" + " UNION ALL ".join(
+    f"""SELECT '{name}' AS skill, {i} AS skill_pos, round(median(avg_salary) FILTER (WHERE {flag} = 1), 6) AS median_with,
+    round(median(avg_salary) FILTER (WHERE {flag} = 0), 6) AS median_without,
+    count(*) FILTER (WHERE {flag} = 1) AS n_with, count(*) FILTER (WHERE {flag} = 0) AS n_without FROM g"""
+    for i, (flag, name) in enumerate(SKILL_LIST, 1)
+) + """), mp AS (SELECT *, round(median_with - median_without, 6) AS premium FROM ms WHERE (SELECT count(*) FROM g) >= 1)"""
+MEDIAN_PREMIUM = """SELECT skill, median_with, median_without, n_with, n_without, premium,
+  CASE WHEN premium >= 0 THEN 'positive' WHEN premium < 0 THEN 'negative' END AS dir,
+  coalesce(premium = max(premium) OVER (), false) AS is_best,
+  row_number() OVER (ORDER BY premium NULLS LAST, skill_pos) AS pos FROM mp"""
+
+
 def _sql(*ctes: str, body: str) -> str:
     # A body that begins with a comma goes on with further CTEs.
     return "WITH " + ",".join([RAW, CLEANED, *["\n" + c for c in ctes]]) + "\n" + body.strip() + "\n"
 
 
+#: Results that are also made from stored cells; the SQL is the same.
+REFRESHED = [
+    "role_share", "busiest_state", "top_states_by_volume", "locality_avg", "skill_demand", "skill_premium", "skill_kpis",
+    "skill_demand_by_role", "skill_cooccurrence", "profile_top_sectors", "skill_gap",
+]
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    return found | {f"refresh_{name}": found[name] for name in REFRESHED} | {"refresh_top_states_by_volume__narrow": found["top_states_by_volume__narrow"]}
+
+
+def _oracle_sql() -> dict[str, str]:
     rated = "FROM d WHERE rating IS NOT NULL"
     enough = "(SELECT count(*) FROM d WHERE rating IS NOT NULL) > 5"
     return {
@@ -454,6 +478,53 @@ FROM pairs WHERE n >= 10""",
             body="",
         ),
         "kpi_labels": _sql(GLOBAL, PROFILE, STATS + LABELS, body=""),
+        "skill_median_premium": _sql(GLOBAL, MEDIAN_STATS, body=MEDIAN_PREMIUM),
+        "skill_median_premium__narrow": _sql(GLOBAL_NARROW, MEDIAN_STATS, body=MEDIAN_PREMIUM),
+        "salary_range_by_company": _sql(
+            GLOBAL,
+            """r AS (SELECT company_name, round(median(min_salary), 6) AS lo, round(median(avg_salary), 6) AS mid,
+  round(median(max_salary), 6) AS hi, count(*) AS n FROM g GROUP BY company_name)""",
+            body="SELECT *, row_number() OVER (ORDER BY mid, company_name) AS pos FROM r",
+        ),
+        "salary_box_by_company": _sql(
+            GLOBAL,
+            """q AS (SELECT company_name, count(*) AS n, quantile_cont(avg_salary, 0.25) AS q1, median(avg_salary) AS med,
+  quantile_cont(avg_salary, 0.75) AS q3 FROM g GROUP BY company_name)""",
+            body="""SELECT company_name, n, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
+  round(least(q1, min(avg_salary) FILTER (WHERE avg_salary BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))), 2) AS whisker_lo,
+  round(greatest(q3, max(avg_salary) FILTER (WHERE avg_salary BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))), 2) AS whisker_hi,
+  count(*) FILTER (WHERE avg_salary < q1 - 1.5 * (q3 - q1) OR avg_salary > q3 + 1.5 * (q3 - q1)) AS n_outliers
+  FROM g JOIN q USING (company_name) GROUP BY company_name, n, q1, med, q3""",
+        ),
+        "company_share": _sql(
+            GLOBAL,
+            "c AS (SELECT company_name, count(*) AS n FROM g GROUP BY company_name)",
+            body="""SELECT company_name, n, round(n * 100.0::double / sum(n) OVER (), 6) AS pct,
+  round_even(n * 100.0::double / sum(n) OVER (), 1) AS pct_1dp,
+  n = max(n) OVER () AS is_top, row_number() OVER (ORDER BY n, company_name) AS pos FROM c""",
+        ),
+        "top_companies": _sql(
+            GLOBAL,
+            "c AS (SELECT company_name, count(*) AS n FROM g GROUP BY company_name)",
+            body="SELECT company_name, n FROM (SELECT *, rank() OVER (ORDER BY n DESC) AS r FROM c) WHERE r <= 15",
+        ),
+        "sector_cooccurrence": _sql(
+            GLOBAL,
+            "held AS (SELECT DISTINCT company_name, job_state, sector FROM g WHERE sector IS NOT NULL)",
+            "size AS (SELECT sector, count(*) AS n FROM held GROUP BY sector)",
+            body="""SELECT a.sector AS item_a, b.sector AS item_b, count(*) AS n_both, any_value(x.n) AS n_a, any_value(y.n) AS n_b
+  FROM held a JOIN held b ON a.company_name = b.company_name AND a.job_state = b.job_state AND a.sector < b.sector
+  JOIN size x ON x.sector = a.sector JOIN size y ON y.sector = b.sector GROUP BY 1, 2 HAVING count(*) >= 2""",
+        ),
+        "skill_profile_holders": _sql(
+            GLOBAL,
+            "held AS (" + " UNION ".join(f"SELECT company_name, sector, '{name}' AS skill FROM g WHERE {flag} = 1" for flag, name in SKILL_LIST) + ")",
+            """wanted(profile, skill) AS (VALUES ('analyst', 'Python'), ('analyst', 'Excel'), ('engineer', 'Python'), ('engineer', 'Spark'),
+  ('engineer', 'AWS'), ('all', 'Python'), ('all', 'R'), ('all', 'Spark'), ('all', 'AWS'), ('all', 'Excel'))""",
+            body="""SELECT company_name, sector, profile FROM (SELECT DISTINCT company_name, sector FROM held) o, (SELECT DISTINCT profile FROM wanted) p
+  WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.profile = p.profile AND NOT EXISTS (
+    SELECT 1 FROM held h WHERE h.company_name = o.company_name AND h.sector IS NOT DISTINCT FROM o.sector AND h.skill = w.skill))""",
+        ),
         "salary_quantiles_two_phase": _sql(
             GLOBAL,
             body="""SELECT role, round(quantile_cont(avg_salary, 0.25), 6) AS q1,
