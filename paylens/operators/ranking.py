@@ -22,9 +22,10 @@ def _order(metric: str, key: str, desc: bool) -> list[Column]:
 
 
 def _sort_key(metric: str, key: str, desc: bool) -> Column:
-    """The order as one value that ascends."""
-    value = -F.col(metric) if desc else F.col(metric)
-    return F.struct(F.col(metric).isNull().alias("a"), value.alias("b"), F.col(key).isNull().alias("c"), F.col(key).alias("d"))
+    """The order as one value that ascends; NaN is above all numbers either way."""
+    c = F.col(metric)
+    by = [(~F.isnan(c.cast("double"))).alias("b1"), (-c).alias("b2")] if desc else [c.alias("b")]
+    return F.struct(c.isNull().alias("a"), *by, F.col(key).isNull().alias("c"), F.col(key).alias("d"))
 
 
 def _row_hash(df: DataFrame) -> Column:
@@ -32,18 +33,23 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(name(c)) for c in df.columns])
 
 
-def _borders(df: DataFrame, order: Column) -> Column:
+def borders(df: DataFrame, order: Column, ranges: int) -> Column:
     """Borders of ranges with about equal numbers of rows, as a subquery: evenly spaced in a sample of the rows by hash.
 
-    They depend on the rows alone, so every use of them sees the same ranges.
+    They depend on the rows alone, so every use of them sees the same ranges. Nulls are left out; no rows, no borders.
     """
-    some = df.select(order.alias("_at"), _row_hash(df).alias("_h")).orderBy("_h", "_at").limit(SAMPLE)
+    some = df.select(order.alias("_at"), _row_hash(df).alias("_h")).where("_at IS NOT NULL").orderBy("_h", "_at").limit(SAMPLE)
     ordered = some.agg(F.sort_array(F.collect_list("_at")).alias("_all"))
     size = F.size("_all")
-    picks = F.transform(F.sequence(F.lit(1), F.lit(COARSE * COARSE - 1)), lambda i: F.get("_all", F.floor(i * size / (COARSE * COARSE)).cast("int")))
+    picks = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("_all", F.floor(i * size / ranges).cast("int")))
     return ordered.select(F.when(size > 0, picks).otherwise(F.slice("_all", 1, 0)).alias("_borders")).scalar()
 
 
+def places_below(value: Column, some: Column) -> Column:
+    """How many of the borders lie below the value: the number of its range; 0 for null."""
+    return F.size(F.filter(some, lambda b: b < value))
+
+
 def ordinal(df: DataFrame, metric: str, key: str, desc: bool = False, out: str = "pos", large: bool = False) -> DataFrame:
     """1-based position after sorting on the metric, ties by key.
 
@@ -54,12 +60,11 @@ def ordinal(df: DataFrame, metric: str, key: str, desc: bool = False, out: str =
         order = Window.orderBy(*_order(metric, key, desc))
         return df.withColumn(out, F.row_number().over(order).cast("bigint"))
     at = _sort_key(metric, key, desc)
-    borders = _borders(df, at)
-    # Which range: first among every sixteenth border, then among the sixteen that follow it.
-    below = lambda some: F.size(F.filter(some, lambda b: b < F.col("_at")))
+    # Which range: first among every sixteenth border, then among the fifteen that follow it.
     coarse = F.filter(F.col("_borders"), lambda _, i: (i + 1) % COARSE == 0)
-    ranged = df.withColumn("_at", at).withColumn("_borders", borders).withColumn("_c", below(coarse))
-    ranged = ranged.withColumn("_range", F.col("_c") * COARSE + below(F.slice("_borders", F.col("_c") * COARSE + 1, COARSE - 1))).drop("_c", "_borders")
+    fine = F.slice("_borders", F.col("_c") * COARSE + 1, COARSE - 1)
+    ranged = df.withColumn("_at", at).withColumn("_borders", borders(df, at, COARSE * COARSE)).withColumn("_c", places_below(F.col("_at"), coarse))
+    ranged = ranged.withColumn("_range", F.col("_c") * COARSE + places_below(F.col("_at"), fine)).drop("_c", "_borders")
     before = Window.orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy(F.col("_range").alias("_in")).agg(F.count(F.lit(1)).alias("_size"), F.max(_row_hash(df)).alias("_used"))
     sizes = sizes.where(F.col("_used").isNotNull())  # all; at most 256 rows
@@ -92,3 +97,8 @@ def flag_max(df: DataFrame, col: str, out: str = "is_top", where: Column | None
     candidate = F.col(col) if where is None else F.when(where, F.col(col))
     best = df.agg(F.max(candidate).alias("_best")).scalar() if large else F.max(candidate).over(Window.partitionBy())
     return df.withColumn(out, F.coalesce(candidate == best, F.lit(False)))
+
+
+def highlighted(df: DataFrame, flag: str = "is_top") -> DataFrame:
+    """The rows that a flag singles out, all of them where they tie, without the flag; none if none is flagged."""
+    return df.where(F.col(flag)).drop(flag)

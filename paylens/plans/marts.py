@@ -25,7 +25,7 @@ from paylens.operators.filters import (
     require_rows,
 )
 from paylens.operators.quantiles import grouped_percentiles, percentiles_if
-from paylens.operators.ranking import flag_max, ordinal, top_k
+from paylens.operators.ranking import flag_max, highlighted, ordinal, top_k
 from paylens.params import CompanyFilter, PostingFilter, Profile
 from paylens.sources.star import postings_from_star
 
@@ -242,6 +242,21 @@ def skill_kpis(spark, source, params=ALL_POSTINGS) -> DataFrame:
     )
 
 
+def skill_demand_highlight(spark, source, params=ALL_POSTINGS) -> DataFrame:
+    """The skills in highest demand, ties included."""
+    return highlighted(skill_demand(spark, source, params))
+
+
+def skill_pair_highlight(spark, source, params=ALL_POSTINGS) -> DataFrame:
+    """The pairs of different skills that occur together most often."""
+    return highlighted(skill_cooccurrence(spark, source, params), "is_max")
+
+
+def top_states_highlight(spark, source, params=ALL_POSTINGS) -> DataFrame:
+    """The states with the most postings, ties included."""
+    return highlighted(top_states_by_volume(spark, source, params))
+
+
 def skill_demand_by_role(spark, source, params=ALL_POSTINGS) -> DataFrame:
     return skills.demand_by_role(_global(spark, source, params), "role", SKILLS)
 

@@ -300,8 +300,17 @@ REFRESHED = [
 ]
 
 
+HIGHLIGHTS = [
+    ("skill_demand_highlight", "skill_demand", "is_top"),
+    ("skill_pair_highlight", "skill_cooccurrence", "is_max"),
+    ("top_states_highlight", "top_states_by_volume", "is_top"),
+]
+
+
 def oracle_sql() -> dict[str, str]:
     found = _oracle_sql()
+    for highlight, name, flag in HIGHLIGHTS:
+        found[highlight] = f"SELECT * EXCLUDE ({flag}) FROM ({found[name]}) WHERE {flag}"
     return found | {f"refresh_{name}": found[name] for name in REFRESHED} | {"refresh_top_states_by_volume__narrow": found["top_states_by_volume__narrow"]}
 
 

@@ -178,13 +178,28 @@ def test_rules_may_be_patterns(spark):
     assert [r[0] for r in df.select(first_match("t", rules, "-")).collect()] == list(given.values())
 
 
-def test_csv_files_of_another_order_are_refused(spark, tmp_path):
+def test_csv_files_of_differing_headers_are_joined_by_name(spark, tmp_path):
     header = [c for c in m.CSV_COLUMNS if "." not in c]
-    row = {c: "1" for c in header}
-    for name, cols in (("a", header), ("b", header[::-1])):
-        (tmp_path / f"{name}.csv").write_text(",".join(cols) + "\n" + ",".join(row[c] for c in cols) + "\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_postings_csv(spark, str(tmp_path)).collect()
+    files = {
+        "a": header,
+        "b": header[::-1],
+        "c": [c.replace(" ", ".") for c in header[3:] + header[:3]] + ["", "More"],
+        "d": [c for c in header if c not in ("hourly", "excel", "Sector")],
+        "e": header,
+    }
+    for name, cols in files.items():
+        row = [f"{name}:{c.replace('.', ' ')}" for c in cols]
+        (tmp_path / f"{name}.csv").write_text(",".join(cols) + "\n" + ",".join(row) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    df = read_postings_csv(spark, str(tmp_path))
+    named = {m.CSV_COLUMNS[c]: c for c in header}
+    want = {name: {ours: f"{name}:{c}" if name != "d" or c in files["d"] else None for ours, c in named.items()} for name in files}
+    got = {r["job_title"][0]: r.asDict() for r in df.collect()}
+    assert got == want and set(df.columns) == set(m.RAW_COLUMNS)
+    # Files of one header are one scan, and each file is in one of them.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 4
+    assert len(read_postings_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()) == 2
 
 
 def test_csv_without_salary_sources(spark, tmp_path):

@@ -1,0 +1,346 @@
+"""Overlapping populations, mergeable cells, many small groups, large rankings, item sets and the clustered sink."""
+
+import itertools
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from paylens.operators import cells, grouping, itemsets, quantiles, ranking, small_groups
+from paylens.params import PostingFilter, Profile
+from paylens.plans import marts, refresh
+from paylens.sources.sinks import CLUSTERED, read_mart, write_clustered, write_mart
+
+SF = "/root/testdata/sf0.01"
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def scans(plan):
+    return plan.count("FileScan parquet")
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("postings") / "cleaned")
+    write_mart(marts.clean_postings(spark, SF), path)
+    return read_mart(spark, path)
+
+
+@pytest.fixture(scope="module")
+def values(spark):
+    """Groups of all sizes, ties, unknown and special values; a third of the rows in one group."""
+    rng = random.Random(1)
+    rows = [(f"g{int(rng.paretovariate(0.5)) % 200}", rng.choice([0.0, 1.0, -3.5, rng.uniform(-1e4, 1e4)]), rng.random() * 9) for _ in range(4000)]
+    rows += [("hot", rng.choice([7.0, rng.uniform(0, 100)]), None) for _ in range(3000)]
+    rows += [(None, 2.0, 1.0), (None, None, 3.0), ("none", None, None), ("nan", float("nan"), 1.0), ("nan", 4.0, None), ("same", 5.0, 5.0), ("same", 5.0, 6.0)]
+    return spark.createDataFrame(rows, "k string, x double, y double")
+
+
+def exact(df, keys, wanted):
+    return quantiles.grouped_percentiles(df, keys, wanted, method="exact")
+
+
+def close(rows):
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
+
+
+# Overlapping populations
+
+CONDITIONS = {"all": "true", "low": "x < 1", "high": "x >= 1", "y": "y > 4", "both": "x < 1 AND y > 4", "never": "k = 'nobody'", "unknown": "cast(null as boolean)"}
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_populations_match_percentile(spark, values, levels, keys):
+    wanted = {"q": ("x", 0.25), "m": ("x", 0.5), "top": ("y", 0.9)}
+    totals = {"s": "y", "c": "CAST(y IS NOT NULL AS bigint)"}
+    populations = {name: F.expr(condition) for name, condition in CONDITIONS.items()}
+    got = quantiles.percentiles_if(values, populations, wanted, totals, keys, levels)
+    assert got.columns == [*keys, "population", "n", *wanted, *totals]
+    want = []
+    for name, condition in CONDITIONS.items():
+        found = values.where(condition).groupBy(*keys).agg(
+            F.lit(name).alias("population"), F.count(F.lit(1)).alias("n"),
+            *[F.expr(f"percentile(nanvl(cast({c} as double), null), {p})").alias(o) for o, (c, p) in wanted.items()], F.sum("y").alias("s"), F.count("y").alias("c"),
+        )
+        want += [r for r in found.select(*got.columns).collect() if r.n]
+    assert close(got.collect()) == close(want)
+
+
+def test_ten_populations_take_the_scans_of_one(stored):
+    populations = {f"{c}{v}": F.col(c) == v for c in ("python_yn", "r_yn", "spark", "aws", "excel") for v in (0, 1)}
+    many = plan_of(grouping.median_if(stored, "avg_salary", populations))
+    one = plan_of(grouping.median_by(stored, "role", "avg_salary"))
+    assert scans(many) <= scans(one) and "Expand" not in many and "Python" not in many
+
+
+def test_populations_are_bounded(values):
+    with pytest.raises(ValueError, match="62"):
+        quantiles.percentiles_if(values, {}, {"m": ("x", 0.5)})
+    with pytest.raises(ValueError, match="62"):
+        quantiles.percentiles_if(values, {str(i): F.lit(True) for i in range(63)}, {"m": ("x", 0.5)})
+    sixty_two = quantiles.percentiles_if(values, {str(i): F.col("x") > i for i in range(62)}, {"m": ("x", 0.5)}).collect()
+    assert {r.population: r.n for r in sixty_two}["61"] == values.where("nanvl(x, null) > 61 or isnan(x)").count()
+
+
+def test_populations_of_no_rows(values):
+    assert grouping.median_if(values.limit(0), "x", {"a": F.lit(True)}, "k").isEmpty()
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_few_groups_give_the_same(values, few):
+    wanted = {"q": ("x", 0.25), "m": ("y", 0.5)}
+    for levels in (1, 2, 3):
+        got = quantiles.grouped_percentiles(values, ["k"], wanted, {"s": "y"}, levels=levels, few_groups=few)
+        assert close(got.drop("s").collect()) == close(exact(values, ["k"], wanted).collect())
+
+
+def test_boxes_scan_three_times(stored):
+    assert scans(plan_of(marts.salary_box_by_seniority(stored.sparkSession, stored))) <= 3
+
+
+def test_labels_scan_less(stored):
+    # Two for the market, the profile and all means, two for the states; reused shuffles are listed as well.
+    assert scans(plan_of(marts.kpi_labels(stored.sparkSession, stored))) <= 8
+
+
+# Cells
+
+FILTERS = [PostingFilter(), PostingFilter(lo=80, hi=120), PostingFilter(lo=None, hi=None, seniority="Senior"), PostingFilter(role="Manager", sector="Brand#7"), PostingFilter(sector="none")]
+
+
+@pytest.fixture(scope="module")
+def state(spark, stored, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("state") / "cells")
+    write_mart(refresh.summary_cells(spark, stored), path)
+    return read_mart(spark, path)
+
+
+@pytest.mark.parametrize("mart", refresh.MARTS, ids=lambda f: f.__name__)
+def test_stored_cells_answer_every_filter(spark, stored, state, mart):
+    profiles = [Profile(), Profile("Data Scientist", skills=("python_yn",)), Profile("ML Engineer", "NATION_3", "Senior", ("python_yn", "excel")), Profile(state="NOWHERE")]
+    for params in profiles if mart.__name__ in ("skill_gap", "profile_top_sectors") else FILTERS:
+        df = mart(spark, state, params)
+        want = getattr(marts, mart.__name__)(spark, stored, params)
+        assert df.columns == want.columns
+        assert sorted(map(str, df.collect())) == sorted(map(str, want.collect()))
+    assert scans(plan_of(mart(spark, state))) == 1  # the cells, no posting
+
+
+def test_one_scan_builds_the_cells(spark, stored, state):
+    assert scans(plan_of(refresh.summary_cells(spark, stored))) == 1
+    assert state.agg(F.sum("n")).first()[0] == stored.count() and state.count() < stored.count() * 1.01
+
+
+def test_states_of_parts_are_merged(spark, stored, state):
+    parts = [refresh.summary_cells(spark, stored.where(F.pmod(F.xxhash64("company_name"), F.lit(3)) == i)) for i in range(3)]
+    whole = cells.merged(parts)
+    assert whole.columns == state.columns
+    rounded = lambda df: sorted(str([round(v, 4) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    assert rounded(whole) == rounded(state)
+    assert sorted(map(str, refresh.skill_premium(spark, whole).collect())) == sorted(map(str, marts.skill_premium(spark, stored).collect()))
+
+
+def test_bounds_lie_on_whole_numbers(spark):
+    df = spark.createDataFrame([(v,) for v in (9.99, 10.0, 10.5, 11.0, -2.5, -2.0, None, float("nan"))], "x double")
+    placed = df.withColumn("p", cells.grid_place(F.nanvl("x", F.lit(None))))
+    for lo, hi in ((10, 11), (10, 10), (None, 10), (-2, None), (-3, -2)):
+        inside = F.lit(True) & (F.col("x") >= lo if lo is not None else F.lit(True)) & (F.col("x") <= hi if hi is not None else F.lit(True))
+        assert placed.where(cells.within("p", lo, hi)).count() == df.where(inside & ~F.isnan("x")).count()
+    with pytest.raises(ValueError, match="whole numbers"):
+        cells.within("p", 10.5, None)
+
+
+def test_cells_of_no_rows(spark, stored):
+    assert refresh.summary_cells(spark, stored.limit(0)).isEmpty()
+    assert refresh.skill_demand(spark, stored.limit(0)).isEmpty() and refresh.locality_avg(spark, stored.limit(0)).first() == (None, None)
+
+
+# Many small groups
+
+
+@pytest.mark.parametrize("limit", [1, 50, 1 << 20])
+def test_small_groups_match_percentile(spark, values, limit):
+    wanted = {"q": ("x", 0.25), "m": ("x", 0.5), "top": ("y", 0.9)}
+    got = small_groups.percentiles(values, ["k"], wanted, limit)
+    assert close(got.collect()) == close(exact(values, ["k"], wanted).collect())
+    two = values.withColumn("k2", F.col("y") > 4)
+    assert close(small_groups.percentiles(two, ["k", "k2"], wanted, limit).collect()) == close(exact(two, ["k", "k2"], wanted).collect())
+
+
+@pytest.mark.parametrize("limit", [10, 1 << 20])
+def test_boxes_of_unlisted_groups_match_those_of_listed_ones(values, limit):
+    from paylens.operators.distribution import box_stats
+
+    known = values.where("k IS NOT NULL")
+    listed = [r.k for r in known.select("k").distinct().collect()]
+    got = small_groups.boxes(known, ["k"], "x", limit)
+    assert close(got.collect()) == close(box_stats(known.withColumn("x", F.nanvl("x", F.lit(None))), "k", listed, "x").select(*got.columns).collect())
+    assert small_groups.boxes(values, ["k"], "x", limit).where("k IS NULL").first().n == 2
+
+
+def test_a_million_groups_and_a_hot_one(spark):
+    """Large groups are split by value: no task sorts more of one group than the limit allows."""
+    many = spark.range(2_000_000).selectExpr("concat('c', id % 1000000) AS k", "cast(pmod(xxhash64(id), 100000) AS double) AS x")
+    hot = spark.range(1_000_000).selectExpr("'hot' AS k", "cast(pmod(xxhash64(id), 400000) AS double) / 4 AS x")
+    df = many.unionAll(hot)
+    small, large = small_groups.split_large(df, ["k"], 10_000)
+    assert large.count() == 1_000_000 and small.groupBy("k").count().agg(F.max("count")).first()[0] == 2
+    got = small_groups.percentiles(df, ["k"], {"m": ("x", 0.5)}, 10_000)
+    want = df.groupBy("k").agg(F.expr("percentile(x, 0.5)").alias("w"))
+    assert got.join(want, "k").where("m = w").count() == 1_000_001 == got.count()
+
+
+# Large rankings
+
+
+@pytest.mark.parametrize("desc", [False, True])
+def test_large_positions_are_those_of_one_window(spark, values, desc):
+    counts = values.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"))
+    for metric in ("n", "s"):
+        small = {r.k: r.pos for r in ranking.ordinal(counts, metric, "k", desc).collect()}
+        assert {r.k: r.pos for r in ranking.ordinal(counts, metric, "k", desc, large=True).collect()} == small
+
+
+def test_a_million_positions_without_one_large_task(spark):
+    df = spark.range(1_000_000).selectExpr("id AS k", "pmod(xxhash64(id), 500) AS n", "'more' AS other")
+    got = ranking.ordinal(df, "n", "k", desc=True, large=True)
+    wrong = got.selectExpr("pos", "lag(struct(-n, k)) OVER (PARTITION BY pos div 4096 ORDER BY pos) < struct(-n, k) AS fine", "pos AS p")
+    assert got.agg(F.min("pos"), F.max("pos"), F.count_distinct("pos")).first() == (1, 1_000_000, 1_000_000)
+    assert wrong.where("NOT fine").isEmpty()
+    sizes = got.groupBy(F.col("pos").isNull()).count()
+    assert sizes.count() == 1
+    plan = plan_of(got)
+    windows = [line for line in plan.splitlines() if "Window [row_number" in line]
+    assert windows and all("_range" in line for line in windows)
+
+
+@pytest.mark.parametrize("ties", [True, False])
+@pytest.mark.parametrize("k", [1, 3, 40, 10_000])
+def test_large_top_k(values, k, ties):
+    counts = values.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"))
+    for metric in ("n", "s"):
+        rows = lambda df: sorted(map(str, df.collect()))
+        assert rows(ranking.top_k(counts, metric, "k", k, ties, large=True)) == rows(ranking.top_k(counts, metric, "k", k, ties))
+
+
+def test_large_shares_and_flags(values):
+    counts = values.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    for large in (True, False):
+        shares = grouping.share_of_total(ranking.flag_max(counts, "n", large=large), large=large)
+        assert abs(shares.agg(F.sum("pct")).first()[0] - 100) < 1e-3 and [r.k for r in shares.where("is_top").collect()] == ["hot"]
+    assert rows(grouping.share_of_total(counts, large=True)) == rows(grouping.share_of_total(counts))
+    assert "SinglePartition" not in grouping.share_of_total(counts, large=True)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+
+
+def test_large_rankings_of_no_rows(values):
+    none = values.limit(0).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert ranking.ordinal(none, "n", "k", large=True).isEmpty() and ranking.top_k(none, "n", "k", 3, large=True).isEmpty()
+    assert grouping.share_of_total(ranking.flag_max(none, "n", large=True), large=True).isEmpty()
+
+
+# Item sets
+
+
+def long_form(spark, baskets):
+    rows = [(o, i) for o, items in baskets.items() for i in items]
+    return spark.createDataFrame([*rows, *rows[:50], (None, "i1"), (None, "i2"), (5, None)], "o long, item string")
+
+
+def plain_pairs(baskets, min_support):
+    held = [sorted(set(items)) for items in baskets.values()]
+    n = Counter(i for items in held for i in items)
+    both = Counter(p for items in held for p in itertools.combinations(items, 2))
+    return sorted((a, b, c, n[a], n[b]) for (a, b), c in both.items() if c >= min_support)
+
+
+@pytest.mark.parametrize("min_support", [1, 3, 10])
+def test_pairs_match_brute_force(spark, min_support):
+    rng = random.Random(min_support)
+    baskets = {o: [f"i{int(rng.paretovariate(0.7)) % 150}" for _ in range(rng.randint(1, 12))] for o in range(300)}
+    pairs = long_form(spark, baskets)
+    got = itemsets.cooccurrence(pairs, ["o"], "item", min_support)
+    assert got.columns == ["item_a", "item_b", "n_both", "n_a", "n_b"]
+    assert sorted(map(tuple, got.collect())) == plain_pairs({**baskets, None: ["i1", "i2"]}, min_support)
+
+
+def test_a_thousand_items_in_few_different_sets(spark):
+    """Ten thousand owners of a thousand items each: pairs are formed for the four different sets alone."""
+    sets = {s: [i for i in range(1000) if i % 4 != s] for s in range(4)}
+    items = spark.createDataFrame([(s, f"{i:04}") for s, held in sets.items() for i in held], "s long, item string")
+    owners = spark.range(400).selectExpr("id AS o", "id % 4 AS s")
+    got = itemsets.cooccurrence(owners.join(items, "s").select("o", "item"), ["o"], "item")
+    assert got.count() == 1000 * 999 // 2
+    found = {r.n_both: r.k for r in got.groupBy("n_both").agg(F.count(F.lit(1)).alias("k")).collect()}
+    assert found == {300: 4 * (250 * 249 // 2), 200: 6 * 250 * 250}
+
+
+def test_too_many_items_are_refused(spark):
+    with pytest.raises(Exception, match="more than 2 items"):
+        itemsets.cooccurrence(spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "o long, item string"), ["o"], "item", max_items=2).collect()
+
+
+def test_holders_match_brute_force(spark):
+    rng = random.Random(7)
+    baskets = {o: [f"i{rng.randint(0, 150)}" for _ in range(rng.randint(1, 150))] for o in range(60)}
+    wishes = {"one": ["i1"], "three": ["i1", "i2", "i3"], "many": [f"i{i}" for i in range(0, 140, 2)], "nobody": ["x"], "partly": ["i1", "x"]}
+    baskets[999] = [f"i{i}" for i in range(151)]
+    wanted = [(p, i) for p, items in wishes.items() for i in items] + [("one", "i1"), ("none", None), ("three", None)]
+    got = itemsets.holders(long_form(spark, baskets), ["o"], "item", spark.createDataFrame(wanted, "p string, item string"), "p")
+    held = {**{o: set(i) for o, i in baskets.items()}, None: {"i1", "i2"}}
+    want = [(o, p) for o, items in held.items() for p, wish in {**wishes, "none": []}.items() if items >= set(wish)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_item_sets_of_no_rows(spark):
+    none = spark.createDataFrame([], "o long, item string")
+    wanted = spark.createDataFrame([("p", "a")], "p string, item string")
+    assert itemsets.cooccurrence(none, ["o"], "item").isEmpty() and itemsets.holders(none, ["o"], "item", wanted, "p").isEmpty()
+    some = spark.createDataFrame([(1, "a")], "o long, item string")
+    assert itemsets.holders(some, ["o"], "item", wanted.limit(0), "p").isEmpty() and itemsets.cooccurrence(some, ["o"], "item").isEmpty()
+
+
+# Clustered sink
+
+
+def rows_read(df):
+    """Rows that the scan handed on, as it counted them."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    found = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        leaf = leaf.plan() if "QueryStage" in leaf.getClass().getSimpleName() else leaf
+        found.append(leaf.metrics().get("numOutputRows").get().value())
+    return sum(found)
+
+
+def test_each_filter_alone_skips_row_groups(spark, stored, tmp_path):
+    path = str(tmp_path / "clustered")
+    write_clustered(stored, path, files=64)
+    df = read_mart(spark, path)
+    n = stored.count()
+    assert df.columns == stored.columns and df.count() == n
+    assert df.exceptAll(stored).isEmpty()
+    sector = stored.groupBy("sector").count().orderBy("count", "sector").first().sector
+    filters = {"role": F.col("role") == "Manager", "seniority": F.col("seniority") == "Senior", "sector": F.col("sector") == sector, "avg_salary": F.col("avg_salary") >= 200}
+    assert set(filters) == set(CLUSTERED)
+    for column, condition in filters.items():
+        kept = df.where(condition).select(column)
+        read = rows_read(kept)
+        assert kept.count() == stored.where(condition).count() and read < 0.7 * n, (column, read, n)
+
+
+def test_clustered_tables_may_be_empty_or_unknown(spark, stored, tmp_path):
+    write_clustered(stored.limit(0), str(tmp_path / "none"), files=2)
+    assert read_mart(spark, str(tmp_path / "none")).isEmpty()
+    nulls = stored.limit(20).withColumn("sector", F.lit(None).cast("string"))
+    write_clustered(nulls, str(tmp_path / "nulls"), files=2)
+    assert read_mart(spark, str(tmp_path / "nulls")).count() == 20
