@@ -158,7 +158,7 @@ def percentiles_if(
     bits = [F.when(condition, F.lit(1 << i).cast("long")).otherwise(0) for i, condition in enumerate(conditions)]
     # Rows of no population go before they are counted; as plain conditions, so that a scan can skip them.
     rows = df.where(reduce(Column.__or__, conditions)).withColumn("_mask", reduce(Column.__add__, bits))
-    found = _two_phase(rows, keys, wanted, dict(totals or {}), levels, False, names)
+    found = _two_phase(rows, keys, wanted, dict(totals or {}), levels, not keys, names)
     label = F.element_at(F.array(*map(F.lit, names)), F.col("_population") + 1)
     return found.select(*map(name, keys), label.alias("population"), "n", *wanted, *(totals or {}))
 
@@ -224,8 +224,10 @@ def _two_phase(
             return met
 
         bounds = []
-        if few_groups:  # a bin for each end of each quantile of each group
+        if few_groups and not populations:  # a bin for each end of each quantile of each group
             rows, bounds = rows.join(F.broadcast(open_bins), same(dims)), ["_base", "_valid"]
+        elif few_groups:
+            rows = rows.join(F.broadcast(open_bins), same(counted), "left_semi")
         else:
             keyed = open_bins.selectExpr(*[f"_k{dims.index(d)} AS {name(d)}" for d in counted], "_in AS _bin")
             cells = F.broadcast(keyed.selectExpr(_cell(counted)).distinct())
@@ -238,8 +240,8 @@ def _two_phase(
             parts = rows.groupBy(*masked, "_bin", "_part", *bounds).agg(*counts)
             parts = _dealt(parts, populations, [*counted, "_bin", "_part"], [])
             rows = rows.drop("_bin", "_in", *bounds, *[f"_k{i}" for i in range(len(dims))]).withColumnRenamed("_part", "_bin")
-        if not few_groups:
-            parts = parts.join(open_bins, same(dims))
+        if not bounds:
+            parts = parts.join(F.broadcast(open_bins) if few_groups else open_bins, same(dims))
         order = "_value" if last else "_part"
         parts = parts.selectExpr("*", _ranked([*dims, "_bin"], order, "_base"))
         if not last:

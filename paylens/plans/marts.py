@@ -418,62 +418,65 @@ def _money(c: Column, digits: int = 0) -> Column:
 def kpi_labels(spark, source, params=ALL_POSTINGS, profile=DEFAULT_PROFILE) -> DataFrame:
     """The formatted headline texts; a text without data reads ``N/A``.
 
-    The market and the profile are two populations of one quantile, whose scans carry the sums of all means along.
+    The market and the profile are two populations of one quantile; the means of the market are one more scan.
     """
     c = F.col
     range_text = lambda low, high: F.concat(_money(low), F.lit(" – "), _money(high))
     with_note = lambda name, note: F.concat(name, F.lit(" ("), note, F.lit(")"))
     percent = lambda v, digits: F.concat(text_round(v, digits), F.lit("%"))
 
-    # Every mean as a sum and a count.
-    means = {"spread": "sal_spread", "pay": SALARY}
-    means |= {f"{place}_pay": f"CASE WHEN same_state = {v} THEN {SALARY} END" for place, v in (("local", 1), ("remote", 0))}
-    means |= {f"share_{s}": f"{s} * 100.0D" for s in SKILLS}
-    means |= {f"pay_{s}_{v}": f"CASE WHEN {s} = {v} THEN {SALARY} END" for s in SKILLS for v in (0, 1)}
-    totals = {f"_s_{m}": expr for m, expr in means.items()} | {f"_c_{m}": f"CAST({expr} IS NOT NULL AS bigint)" for m, expr in means.items()}
     wanted = {"q1": (SALARY, 0.25), "median": (SALARY, 0.5), "q3": (SALARY, 0.75), "low": ("min_salary", 0.5), "high": ("max_salary", 0.5)}
     populations = {"market": global_matches(params), "profile": profile_matches(profile)}
-    found = percentiles_if(postings(spark, source), populations, wanted, totals)
-
-    def of(population):
-        one = found.select(F.struct("*").alias("_f")).agg(F.max(F.when(c("_f.population") == population, c("_f"))).alias("_f")).select("_f.*")
-        mean = {m: F.try_divide(c(f"_s_{m}"), c(f"_c_{m}")) for m in means}
-        return one.select(F.coalesce("n", F.lit(0)).alias("n"), *[r6(c(q)).alias(q) for q in wanted], *[m.alias(out) for out, m in mean.items()])
+    totals = {f"_s_{m}": m for m in ("sal_spread", SALARY)} | {f"_c_{m}": f"CAST({m} IS NOT NULL AS bigint)" for m in ("sal_spread", SALARY)}
+    both = percentiles_if(postings(spark, source), populations, wanted, totals)
+    of = lambda population, column: F.max(F.when(c("population") == population, column))
+    mean = lambda m: r6(F.try_divide(f"_s_{m}", f"_c_{m}"))
+    found = both.agg(
+        *[F.coalesce(of(p, c("n")), F.lit(0)).alias(f"n_{p}") for p in populations],
+        *[of("market", r6(c(q))).alias(q) for q in ("q1", "median", "q3")],
+        *[of("profile", r6(c(q))).alias(q) for q in ("low", "high")],
+        of("market", mean("sal_spread")).alias("avg_spread"),
+        of("profile", mean(SALARY)).alias("avg"),
+    )
+    quantiles = _labels(
+        found,
+        {
+            "postings": F.format_number("n_market", 0),
+            "median_salary": _money(c("median"), 1),
+            "middle_half": range_text(c("q1"), c("q3")),
+            "avg_spread": _money(c("avg_spread"), 1),
+            "profile_matches": F.format_number("n_profile", 0),
+            "profile_avg": _money(c("avg"), 1),
+            "profile_range": range_text(c("low"), c("high")),
+        },
+    )
 
     def best(values):
-        ranked = [F.struct(r6(v).alias("v"), F.lit(-i).alias("order"), F.lit(label).alias("skill")) for i, (label, v) in enumerate(values.items())]
+        ranked = [F.struct(r6(c(f"{values}_{s}")).alias("v"), F.lit(-i).alias("order"), F.lit(label).alias("skill")) for i, (s, label) in enumerate(SKILLS.items())]
         return F.array_max(F.array(*ranked))
 
-    demand = best({label: c(f"share_{s}") for s, label in SKILLS.items()})
-    prized = best({label: c(f"pay_{s}_1") - c(f"pay_{s}_0") for s, label in SKILLS.items()})
-    market = _labels(
-        of("market").withColumns({"top": demand, "prized": prized}),
+    g = _global(spark, source, params)
+    one_row = g.agg(
+        *_locality_means(),
+        *[skills.demand(s).alias(f"demand_{s}") for s in SKILLS],
+        *[skills.premium(s, SALARY).alias(f"premium_{s}") for s in SKILLS],
+    ).withColumns({"top": best("demand"), "prized": best("premium")})
+    means = _labels(
+        one_row,
         {
-            "postings": F.format_number("n", 0),
-            "median_salary": _money(c("median"), 1),
-            "middle_half": range_text(c("q1"), c("q3")),
-            "avg_spread": _money(r6(c("spread")), 1),
-            "local_avg": _money(c("local_pay"), 1),
-            "remote_avg": _money(c("remote_pay"), 1),
+            "local_avg": _money(c("local_avg"), 1),
+            "remote_avg": _money(c("remote_avg"), 1),
             "top_skill_demand": with_note(c("top.skill"), F.concat(percent(c("top.v"), 0), F.lit(" of jobs"))),
             "top_skill_premium": with_note(c("prized.skill"), F.concat(F.lit("+"), _money(c("prized.v"), 1))),
-            "python_share": percent(c("share_python_yn"), 1),
-            "excel_share": percent(c("share_excel"), 1),
-        },
-    )
-    fit = _labels(
-        of("profile"),
-        {
-            "profile_matches": F.format_number("n", 0),
-            "profile_avg": _money(r6(c("pay")), 1),
-            "profile_range": range_text(c("low"), c("high")),
+            "python_share": percent(c("demand_python_yn"), 1),
+            "excel_share": percent(c("demand_excel"), 1),
         },
     )
 
     # The smallest (descending metric, null flag, state) is the winner of top_k(..., 1).
     state_key = [c("job_state").isNull().alias("unknown"), c("job_state").alias("state")]
     enough = c("n") >= MIN_PER_STATE
-    states = grouping.median_by(_global(spark, source, params), "job_state", SALARY).agg(
+    states = grouping.median_by(g, "job_state", SALARY).agg(
         F.min(F.when(enough, F.struct((-c("median")).alias("m"), *state_key))).alias("paying"),
         F.min(F.struct((-c("n")).alias("m"), *state_key)).alias("busy"),
     )
@@ -485,7 +488,7 @@ def kpi_labels(spark, source, params=ALL_POSTINGS, profile=DEFAULT_PROFILE) -> D
             "busiest_state": with_note(F.when(c("busy.unknown"), "NA").otherwise(c("busy.state")), F.concat((-c("busy.m")).cast("string"), F.lit(" jobs"))),
         },
     )
-    return market.unionByName(states).unionByName(fit)
+    return quantiles.unionByName(states).unionByName(means)
 
 
 def salary_quantiles_two_phase(spark, source, params=ALL_POSTINGS) -> DataFrame:
