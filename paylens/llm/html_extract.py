@@ -7,8 +7,10 @@ smoothness edges. The minimum cut is the labelling of least total cost; blocks o
 
 The classifier is a logistic regression over properties of a block (length, sentences, links, tags). No page has
 labels, so it is trained on a bounded sample of pages on blocks that semantic tags or class names label, without showing
-it those tags or names; where a page has such marks they are added as prior odds. A name alone weighs less, and
-nothing against a block that the classifier clearly holds for content.
+it those tags or names; where a page has such marks they are added as prior odds. An element that only its name holds for
+boilerplate (comments, an advertisement) is boilerplate if the page has content outside such elements; where it has
+hardly any, the name is that of a wrapper, and the classifier decides. Its odds are kept within bounds, so that a short
+or unusual block goes with its neighbours and with those that share its containers.
 """
 
 from __future__ import annotations
@@ -29,12 +31,19 @@ from paylens.llm.common import map_in_arrow
 
 SAMPLE_PAGES = 400
 NEIGHBOUR = 0.6
-CONTAINER = 0.9
+CONTAINER = 1.2
+#: Between a section of the page and the one around it.
+SECTION = 0.3
 PRIOR = 5.0
+#: Bounds of the classifier's odds: for content, and against it for blocks without links and of links only.
+DOUBT = 2.5
+PLAIN = 1.2
+#: A page's content outside named elements makes them boilerplate from this share of theirs on.
+OUTSIDE = 0.25
 #: The mark of an element that only its name holds for boilerplate.
 NAMED = -0.4
 #: Odds from which the classifier clearly holds a block for content, whatever its element's name.
-CLEAR = 2.0
+CLEAR = 1.0
 
 #: Fixed values of the markup language: tags that break text into blocks, that hold no text, that have no end tag.
 BLOCK_TAGS = frozenset(
@@ -43,6 +52,7 @@ BLOCK_TAGS = frozenset(
 )
 HIDDEN_TAGS = frozenset("script style template noscript iframe object svg math canvas audio video head title select textarea button datalist".split())
 RAW_TAGS = frozenset("script style textarea title iframe noscript".split())
+SECTION_TAGS = frozenset("article aside body center details dialog div fieldset footer form header hgroup html main menu nav search section table tbody td tfoot th thead tr".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT_TAGS = frozenset("article main".split())
 OTHER_TAGS = frozenset("nav header footer aside form menu dialog".split())
@@ -208,7 +218,7 @@ def parse(source: str) -> Page:
 
 
 #: The number of features of a block, the constant included.
-N_FEATURES = 8
+N_FEATURES = 7
 
 
 def features(block: Block) -> list[float]:
@@ -221,7 +231,6 @@ def features(block: Block) -> list[float]:
         math.log1p(words) / 4,
         min(len(_sentence.findall(block.text)), 10) / 5,
         min(block.link_chars / n, 1.0),
-        float(block.tag == "li"),
         float(block.tag == "p"),
         float(block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")),
     ]
@@ -305,22 +314,53 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
                 follow[a] += 1
 
 
+def own_odds(page: Page, weights: np.ndarray) -> list[float]:
+    """Odds of each block by itself: the classifier's, within bounds, and what marks add."""
+    blocks = page.blocks
+    odds, marks = np.array([features(b) for b in blocks]) @ weights, np.array([b.mark for b in blocks])
+    chars = np.array([len(b.text) for b in blocks])
+    clear, named = odds >= CLEAR, marks == NAMED
+    outside, inside = chars[~named & clear & (marks >= 0)].sum(), chars[named & clear].sum()
+    if (marks > 0).any() or outside > OUTSIDE * inside:
+        marks = np.where(named, -1, marks)
+    else:  # the named element is a wrapper of the content
+        marks = np.where(named & clear, 0, marks)
+    links = np.array([min(b.link_chars / len(b.text), 1.0) for b in blocks])
+    bound = np.where(odds > 0, DOUBT, PLAIN + (DOUBT - PLAIN) * links)  # a short block alone says little, a list of links much
+    return (bound * np.tanh(odds / bound) + PRIOR * marks).tolist()
+
+
+def ties(page: Page) -> tuple[list[tuple[int, int, float]], int]:
+    """Edges between blocks and their containers, and the number of nodes: first the blocks, then the containers.
+
+    Neighbours on the page are tied. A block is tied to its element, and that, by as many ties as it has blocks, to the one
+    around it up to a section of the page: a list goes with the text that it stands in. Sections are tied weakly.
+    """
+    blocks = page.blocks
+    outer: dict[int, int] = {}  # container -> the one around it
+    held: Counter = Counter()
+    for block in blocks:
+        at = block.container
+        while at > 0 and page.nodes[at].tag not in ("body", "html"):
+            held[at] += 1
+            outer[at] = page.nodes[at].parent
+            at = outer[at]
+    number = {c: len(blocks) + k for k, c in enumerate(sorted(outer))}
+    edges = [(k, k + 1, NEIGHBOUR) for k in range(len(blocks) - 1)]
+    edges += [(k, number[b.container], CONTAINER) for k, b in enumerate(blocks) if b.container in number]
+    edges += [(number[c], number[o], SECTION if page.nodes[c].tag in SECTION_TAGS else CONTAINER * held[c]) for c, o in outer.items() if o in number]
+    return edges, len(blocks) + len(number)
+
+
 def label(page: Page, weights: np.ndarray) -> list[bool]:
     """For each block, whether it is content."""
-    blocks = page.blocks
-    if not blocks:
+    if not page.blocks:
         return []
-    odds, marks = np.array([features(b) for b in blocks]) @ weights, np.array([b.mark for b in blocks])
-    odds = (odds + PRIOR * np.where((marks == NAMED) & (odds >= CLEAR), 0, marks)).tolist()
-    # A container is a node of its own without costs; its blocks are tied to it, and it to its parent's node.
-    tied = {b.container for b in blocks}
-    number = {c: len(blocks) + k for k, c in enumerate(sorted(tied | {page.nodes[c].parent for c in tied if c}))}
-    edges = [(k, k + 1, NEIGHBOUR) for k in range(len(blocks) - 1) if blocks[k].mark == blocks[k + 1].mark]
-    edges += [(k, number[b.container], CONTAINER) for k, b in enumerate(blocks)]
-    edges += [(number[c], number[p], CONTAINER) for c in sorted(tied) if c and page.nodes[c].mark == page.nodes[p := page.nodes[c].parent].mark]
-    extra = [0.0] * len(number)
+    odds = own_odds(page, weights)
+    edges, n = ties(page)
+    extra = [0.0] * (n - len(odds))
     cut = minimum_cut([max(o, 0.0) for o in odds] + extra, [max(-o, 0.0) for o in odds] + extra, edges)
-    return cut[: len(blocks)]
+    return cut[: len(odds)]
 
 
 def extract(source: str | None, weights: np.ndarray) -> str:
@@ -329,7 +369,10 @@ def extract(source: str | None, weights: np.ndarray) -> str:
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
-    """Weights from the sample_pages pages whose page_id has the smallest hash."""
+    """Weights from the sample_pages pages whose page_id has the smallest hash.
+
+    Of blocks with equal properties and label, eight count at most, so that a menu on every page does not decide alone.
+    """
     chosen = pages.select("page_id", F.col("html").cast("string").alias("html")).orderBy(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), "page_id").limit(sample_pages)
     schema = pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int64())])
 

@@ -4,7 +4,7 @@ Targets: sources share the total size by weight; a target stops at `most` times
 shared anew by weight. Every document then expects target / source size copies. The whole part is allocated for
 certain. The fraction f is an inclusion probability: documents get the ranking number q = (u / (1-u)) / (f / (1-f))
 from a uniform u, and those with the smallest q are taken until the source's remaining size is filled, which is a
-sample of fixed size in words. u is derived from doc_id, so reruns agree.
+sample of fixed size in words. u is derived from doc_id and text, so reruns agree.
 
 The sum over the ranking is not made by sorting a source: sizes are added up in bins of q (map-side combined), the
 bin in which the remaining size is reached is found among the bins, and only rows of that bin are sorted.
@@ -35,9 +35,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) from 48 bits of a hash of the id; equal ids have equal numbers."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1) from 48 bits of a hash of id and text: rows without an id, or of one id, differ by their texts."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -108,19 +108,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int = BINS, seed: str = SEED, fills: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int = BINS, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target, copies and taken (= copies * size), replacing columns of these names.
 
     Documents without words take 0 words. A null source is one source. Documents of equal rank are ordered by doc_id,
     size and text hash; rows equal in all of these are taken alike. The documents that fit in order are in, and all
-    behind them that fit the gap then left, until no document narrows the gap. With a number as fills, the ranking ends
-    at the first document that overshoots, and up to so many of those left whose sizes are nearest to the gap are added.
+    behind them that fit the gap then left; the one whose size is nearest to the last gap may overshoot it.
     Empty input gives no rows.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in _ADDED]
     base = docs.select(F.struct(*others).alias("_row"), "doc_id", "text", "source").withColumn("size", word_count(F.col("text")))
     rank_key = [F.col("doc_id"), F.col("size"), F.xxhash64("text").alias("h")]
-    sized = written(base.select("source", *rank_key, uniform(F.col("doc_id"), seed).alias("u")), "mix-sizes")
+    sized = written(base.select("source", *rank_key, uniform(F.col("doc_id"), F.col("text"), seed).alias("u")), "mix-sizes")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     some = F.col("source_size") > 0
     goal = (
@@ -147,7 +146,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     else:
         plan = plan.join(first, F.col("_t").eqNullSafe(F.col("_s"))).select("_t", (F.col("gap") - F.col("used")).alias("gap"), "until", passed(none, none).alias("passes"))
     plan = written(plan, "mix-pass")
-    while fills is None:
+    while True:
         # Whatever stands before the end of a pass and fits the gap now is taken, as the gap only closes.
         ahead = ranked.join(plan, F.col("_s").eqNullSafe(F.col("_t"))).filter(key > F.col("until"))
         found = _next_pass(ahead.filter((F.col("size") > 0) & (F.col("size") <= F.col("gap"))).select("_s", "gap", "bin", *_KEY))
@@ -161,25 +160,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
         )
         plan = written(plan, "mix-pass")
     # Of all that are left, the one whose size is nearest to the open gap fills it, if that is nearer than leaving it open.
-    plan = plan.withColumn("fillers", F.array().cast(f"array<{_KEY_TYPE}>"))
-    for _ in range(1 if fills is None else fills):
-        plan = written(plan, "mix-last")
-        left = ranked.join(plan, F.col("_s").eqNullSafe(F.col("_t")))
-        left = left.filter((F.abs(F.col("size") - F.col("gap")) < F.abs("gap")) & ~_is_in(key, F.col("passes"), F.col("fillers")))
-        words = F.col("size")
-        if fills is None:  # equal rows fill together
-            left, words = left.groupBy("_s", "gap", *_KEY).agg(F.sum("size").alias("words")), F.col("words")
-        off = F.abs(words - F.col("gap"))
-        best = left.groupBy("_s").agg(F.min(F.when(off < F.abs("gap"), F.struct(off.alias("off"), key.alias("row"), words.alias("words")))).alias("best"))
-        plan = plan.join(best, F.col("_t").eqNullSafe(F.col("_s")), "left").select(
-            "_t", "passes",
-            F.when(F.col("best").isNull(), F.col("gap")).otherwise(F.col("gap") - F.col("best.words")).alias("gap"),
-            F.when(F.col("best").isNull(), F.col("fillers")).otherwise(F.concat("fillers", F.array("best.row"))).alias("fillers"),
-        )
+    left = ranked.join(plan, F.col("_s").eqNullSafe(F.col("_t")))
+    left = left.filter((F.abs(F.col("size") - F.col("gap")) < F.abs("gap")) & ~_is_in(key, F.col("passes"), F.array().cast(f"array<{_KEY_TYPE}>")))
+    left = left.groupBy("_s", "gap", *_KEY).agg(F.sum("size").alias("words"))  # equal rows fill together
+    off = F.abs(F.col("words") - F.col("gap"))
+    best = left.groupBy("_s").agg(F.min(F.when(off < F.abs("gap"), F.struct(off.alias("off"), key.alias("row")))).alias("best"))
+    plan = plan.join(best, F.col("_t").eqNullSafe(F.col("_s")), "left").select("_t", "passes", F.array_compact(F.array("best.row")).alias("fillers"))
     plan = goal.join(plan, F.col("_s").eqNullSafe(F.col("_t")), "left")
     plan = plan.select("_s", "source_size", "target", "whole", "f", "passes", "fillers")
     plan = written(plan, "mix-plan")
-    row = F.struct(_rank(uniform(F.col("doc_id"), seed), F.col("f")).alias("q"), *rank_key)
+    row = F.struct(_rank(uniform(F.col("doc_id"), F.col("text"), seed), F.col("f")).alias("q"), *rank_key)
     more = _is_in(row, F.col("passes"), F.col("fillers"))
     copies = F.col("whole") + F.when(F.col("f") > 0, more.cast("long")).otherwise(0)
     return (

@@ -37,8 +37,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Three fills, as its SQL has; the operator's default and the pipeline go on until no document narrows the gap.
-    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), fills=3).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +134,9 @@ SELECT doc_id, slot, shard FROM (
 """
 
 _MIXING = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-        (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+        (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
     FROM documents
 ), named AS (
     SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
@@ -162,35 +161,22 @@ WITH sized AS (
 ), ranked AS (
     SELECT d.*, g.source_size, g.target, g.whole, g.rest, g.f, CASE WHEN g.f > 0 THEN u / (1 - u) / (g.f / (1 - g.f)) END AS q
     FROM sized d JOIN fractions g ON d.source IS NOT DISTINCT FROM g.source
-), totals AS (
-    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size) AS total FROM ranked WHERE f > 0
-), gaps AS (
-    SELECT source, any_value(rest) - coalesce(max(total) FILTER (WHERE total <= rest), 0) AS gap, []::BIGINT[] AS ids FROM totals GROUP BY source
-), fill1 AS (
-    SELECT g.source, g.gap - coalesce(f.row.size, 0) AS gap, CASE WHEN f.row IS NULL THEN g.ids ELSE list_append(g.ids, f.row.doc_id) END AS ids
-    FROM gaps g LEFT JOIN (
-        SELECT t.source, min({off: abs(size - gap), q: q, doc_id: doc_id, size: size}) AS row
-        FROM totals t JOIN gaps g ON t.source IS NOT DISTINCT FROM g.source
-        WHERE t.total > t.rest AND NOT list_contains(g.ids, t.doc_id) AND abs(size - gap) < abs(gap) GROUP BY t.source
-    ) f ON g.source IS NOT DISTINCT FROM f.source
-), fill2 AS (
-    SELECT g.source, g.gap - coalesce(f.row.size, 0) AS gap, CASE WHEN f.row IS NULL THEN g.ids ELSE list_append(g.ids, f.row.doc_id) END AS ids
-    FROM fill1 g LEFT JOIN (
-        SELECT t.source, min({off: abs(size - gap), q: q, doc_id: doc_id, size: size}) AS row
-        FROM totals t JOIN fill1 g ON t.source IS NOT DISTINCT FROM g.source
-        WHERE t.total > t.rest AND NOT list_contains(g.ids, t.doc_id) AND abs(size - gap) < abs(gap) GROUP BY t.source
-    ) f ON g.source IS NOT DISTINCT FROM f.source
-), fill3 AS (
-    SELECT g.source, g.gap - coalesce(f.row.size, 0) AS gap, CASE WHEN f.row IS NULL THEN g.ids ELSE list_append(g.ids, f.row.doc_id) END AS ids
-    FROM fill2 g LEFT JOIN (
-        SELECT t.source, min({off: abs(size - gap), q: q, doc_id: doc_id, size: size}) AS row
-        FROM totals t JOIN fill2 g ON t.source IS NOT DISTINCT FROM g.source
-        WHERE t.total > t.rest AND NOT list_contains(g.ids, t.doc_id) AND abs(size - gap) < abs(gap) GROUP BY t.source
-    ) f ON g.source IS NOT DISTINCT FROM f.source
+), ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY q, doc_id, size) AS nth FROM ranked WHERE f > 0
+), walk AS (
+    SELECT source, 0::BIGINT AS nth, rest AS gap, false AS fits FROM fractions WHERE f > 0
+    UNION ALL
+    SELECT w.source, o.nth, CASE WHEN o.size <= w.gap THEN w.gap - o.size ELSE w.gap END, o.size <= w.gap
+    FROM walk w JOIN ordered o ON w.source IS NOT DISTINCT FROM o.source AND o.nth = w.nth + 1
+), gaps AS (SELECT source, arg_max(gap, nth) AS gap FROM walk GROUP BY source),
+judged AS (SELECT o.*, w.fits FROM ordered o JOIN walk w ON w.source IS NOT DISTINCT FROM o.source AND w.nth = o.nth),
+fillers AS (
+    SELECT j.source, min({off: abs(size - gap), q: q, doc_id: doc_id, size: size}) AS row
+    FROM judged j JOIN gaps g ON j.source IS NOT DISTINCT FROM g.source WHERE NOT fits AND abs(size - gap) < abs(gap) GROUP BY j.source
 )
 SELECT r.doc_id, r.size, r.source_size, r.target,
-    (r.whole + CASE WHEN t.total <= r.rest OR list_contains(x.ids, t.doc_id) THEN 1 ELSE 0 END) * r.size AS taken
-FROM ranked r LEFT JOIN totals t ON r.doc_id = t.doc_id LEFT JOIN fill3 x ON r.source IS NOT DISTINCT FROM x.source
+    (r.whole + CASE WHEN j.fits OR (x.row).doc_id = r.doc_id THEN 1 ELSE 0 END) * r.size AS taken
+FROM ranked r LEFT JOIN judged j ON r.doc_id = j.doc_id LEFT JOIN fillers x ON r.source IS NOT DISTINCT FROM x.source
 """
 
 _LEAKS = r"""

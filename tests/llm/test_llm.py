@@ -168,7 +168,7 @@ def test_cues_find_unseen_identifiers(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_twins(spark, name):
-    for table in ("documents", "benchmark", "conversations"):
+    for table in ("documents", "benchmark", "conversations", "embeddings"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     df = queries.queries()[name](spark, SF_DIR)
     cols = sorted(df.columns)
