@@ -1,7 +1,7 @@
 """Benchmark decontamination: containment search for short items inside long documents.
 
-Words are runs of letters a-z, digits and characters beyond ASCII of the lower-cased text; shingles are five words, or
-all words of a text that has fewer. An item is contained when at least `threshold` of its distinct shingles occur in
+Words are runs of letters a-z, digits and characters beyond ASCII of the lower-cased text; shingles are five words; an
+item with fewer words is one shingle of all of them, and is searched for as a run of that many words. An item is contained when at least `threshold` of its distinct shingles occur in
 the document. Items are partitioned by their number of shingles n. The sketch of an item is the k smallest values of
 its shingles under one random hash (a bottom-k MinHash), with k set for its size partition such that k exceeds the
 number of shingles that a containing document may lack: a document that holds `threshold` of the item must hold at
@@ -14,6 +14,7 @@ The items are the query set: blocks of bounded size, each broadcast, go over all
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylens.llm.common import map_in_arrow, mix64, RollingHash, slices
+from paylens.llm.common import map_in_arrow, mix64, RollingHash, slices, text_bytes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -170,9 +171,17 @@ class Block:
                         yield text, item, n, shared
 
 
+def blocks_by_width(items: list[tuple[int, str]], threshold: float, width: int) -> list[Block]:
+    """Items of fewer words than the width form blocks of their own, whose shingles have as many words."""
+    groups: dict[int, list[tuple[int, str]]] = {}
+    for item in items:
+        groups.setdefault(min(max(len(words_of(item[1])), 1), width), []).append(item)
+    return [Block(group, threshold, words) for words, group in sorted(groups.items())]
+
+
 def _blocks(items: DataFrame, block_chars: int) -> Iterator[Broadcast]:
-    """Broadcasts of (item_id, text) rows, each of about block_chars characters of text."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """Broadcasts of different (item_id, text) rows, each of about block_chars characters of text, or of one item."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(math.ceil(total / block_chars), 1)
     for k in range(n_blocks):
@@ -180,30 +189,40 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[Broadcast]:
         yield items.sparkSession.sparkContext.broadcast([tuple(r) for r in part.orderBy("item_id", "text").collect()])
 
 
+def _repeats(items: DataFrame) -> DataFrame:
+    """(of_item, of_text, times): rows of items that repeat an earlier one, times more."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    counts = items.groupBy(F.col("item_id").cast("long").alias("of_item"), F.md5(text).alias("of_text")).agg(F.count(F.lit(1)).alias("times"))
+    return counts.filter("times > 1")
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) for every row of docs and item that it contains.
 
     Repeated rows of docs or items give repeated rows. A null or wordless text contains nothing and is contained
     nowhere; rows with null ids take part. No rows for empty tables.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())])
+    names = ["doc_id", "item_id", "n_shingles", "n_shared", "containment"]
+    schema = pa.schema([(n, pa.int64()) for n in names[:4]] + [(names[4], pa.float64()), ("text_md5", pa.string())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def search(sent: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Block(sent.value, threshold, width)
+            blocks = blocks_by_width(sent.value, threshold, width)
             for batch in batches:
-                ids = batch.column(0)
-                found = list(block.matches(batch.column(1).to_pylist()))
-                docs_at = pa.array([f[0] for f in found], pa.int64())
-                columns = [ids.take(docs_at), pa.array([block.items[f[1]][0] for f in found], pa.int64())]
-                columns += [pa.array([f[k] for f in found], pa.int64()) for k in (2, 3)]
-                columns += [pa.array([f[3] / f[2] for f in found], pa.float64())]
+                texts = batch.column(1).to_pylist()
+                found = [(m[0], *block.items[m[1]], m[2], m[3]) for block in blocks for m in block.matches(texts)]
+                ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
+                columns = [ids, *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 3, 4)), pa.array([f[4] / f[3] for f in found], pa.float64())]
+                columns += [pa.array([hashlib.md5(text_bytes(f[2])).hexdigest() for f in found], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        return map_in_arrow(rows, run, "doc_id long, item_id long, n_shingles long, n_shared long, containment double")
+        return map_in_arrow(rows, run, "doc_id long, item_id long, n_shingles long, n_shared long, containment double, text_md5 string")
 
-    return reduce(DataFrame.unionAll, map(search, _blocks(items, block_chars)))
+    found = reduce(DataFrame.unionAll, map(search, _blocks(items, block_chars)))
+    same = F.col("item_id").eqNullSafe(F.col("of_item")) & (F.col("text_md5") == F.col("of_text"))
+    times = F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long")))
+    return found.join(_repeats(items), same, "left").select(*names, F.explode(times).alias("_nth")).drop("_nth")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -216,10 +235,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
     def clean(rows: DataFrame, sent: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Block(sent.value, threshold, width)
+            blocks = blocks_by_width(sent.value, threshold, width)
             for batch in batches:
-                stays = np.ones(len(batch), bool)
-                stays[[m[0] for m in block.matches(batch.column(at).to_pylist())]] = False
+                stays, texts = np.ones(len(batch), bool), batch.column(at).to_pylist()
+                stays[[m[0] for block in blocks for m in block.matches(texts)]] = False
                 yield batch.filter(pa.array(stays))
 
         return map_in_arrow(rows, run, rows.schema)

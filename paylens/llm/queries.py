@@ -182,11 +182,14 @@ FROM ranked r LEFT JOIN judged j ON r.doc_id = j.doc_id LEFT JOIN fillers x ON r
 _LEAKS = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s FROM d WHERE len(w) > 0),
-si AS (SELECT DISTINCT item_id, unnest([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s FROM i WHERE len(w) > 0),
+si AS (SELECT DISTINCT item_id, least(len(w), 5) AS k, unnest([array_to_string(w[p:p + 4], ' ') FOR p IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s FROM i WHERE len(w) > 0),
+ds AS (
+    SELECT DISTINCT doc_id, k, unnest([array_to_string(w[p:p + k - 1], ' ') FOR p IN range(1, greatest(len(w) - k + 1, 1) + 1)]) AS s
+    FROM d, (SELECT DISTINCT k FROM si) WHERE len(w) > 0
+),
 n AS (SELECT item_id, count(*) AS n_shingles FROM si GROUP BY item_id)
 SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
-FROM ds JOIN si USING (s) JOIN n USING (item_id)
+FROM ds JOIN si USING (k, s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= greatest(ceil(0.8 * n_shingles - 1e-9), 1)
 """
 
