@@ -1,0 +1,93 @@
+"""The pipeline's rows against stages written anew: plain Python for the first three, SQL for the last two."""
+
+import math
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+import xxhash
+
+import corpus_pipeline
+from paylens.llm import queries, simhash
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def fingerprint(text):
+    """Three-word shingles of the lower-cased text, repeats included; a bit is set if over half of the hashes have it."""
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, 1))]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def groups_of(fingerprints):
+    """The smallest id reachable over links of three bits or fewer."""
+    root = {i: i for i in fingerprints}
+    changed = True
+    while changed:
+        changed = False
+        for a in root:
+            for b in root:
+                if root[b] < root[a] and bin(fingerprints[a] ^ fingerprints[b]).count("1") <= 3:
+                    root[a], changed = root[b], True
+    return root
+
+
+def test_fingerprints_are_those_of_another_program(spark):
+    texts = ["", None, "one", "One two", "a b c", "A b\tC d", "été à la\x0bplage " * 9, "x " * 400, "word with a no-break space", "z" * 5000 + " y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fp & (2**64 - 1) for r in simhash.near_duplicates(df).collect()}
+    assert got == {i: fingerprint(t) for i, t in enumerate(texts)}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("corpus"))
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    text = lambda k, n: " ".join(f"w{(k * 7 + j * j) % 997}x" for j in range(n))
+    more = [(900000 + k, text(k, 5 + 9 * k), "en", f"s{k % 3}") for k in range(40)]
+    more += [(910000 + k, more[k][1], "en", "s1") for k in range(5, 15)] + [(920000, more[30][1] + " end", "en", None), (920001, "lead " + item + " tail", "en", "s0")]
+    more += [(920002, None, "en", "s0"), (920003, "1234 !!", None, "s1"), (920004, "", None, None), (920005, item.upper(), "fr", "s2")]
+    extra = spark.createDataFrame(more, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(length(text) as int) AS n_chars")
+    some = rows.where("doc_id < 150").select("doc_id", "text", "lang", "source", rows.n_chars.cast("int").alias("n_chars"))
+    some.unionByName(extra).coalesce(1).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "no such text anywhere at all")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_pipeline_rows(spark, tables):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    kept = {i: r for i, r in docs.items() if r.text and any(c.isalpha() for c in r.text)}
+    assert len(kept) < len(docs)
+    roots = groups_of({i: fingerprint(r.text) for i, r in kept.items()})
+    single = {i: r for i, r in kept.items() if roots[i] == i}
+    assert len(single) < len(kept)
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower())] for i in range(max(len(w) - 4, 1)) if w}
+    items = [shingles(r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    clean = {i: r for i, r in single.items() if not any(s and len(s & shingles(r.text)) >= math.ceil(0.8 * len(s) - 1e-9) for s in items)}
+    assert set(single) - set(clean) >= {920001}
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, r.text, r.source) for i, r in clean.items()])
+    sql = queries.oracle_sql()
+    taken = {r[0]: (r[1] // r[2] if r[2] else None) for r in con.execute(f"SELECT doc_id, taken, size FROM ({sql['op5_mixing']})").fetchall()}
+    places = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, slot, shard FROM ({sql['op4_sharding']})").fetchall()}
+
+    out = corpus_pipeline.run(spark, tables)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "lang", "source", "n_chars", "slot", "shard"])
+    rows = out.collect()
+    assert Counter(r.doc_id for r in rows) == Counter({i: n for i, n in taken.items() if n})
+    assert all((r.slot, r.shard) == places[r.doc_id] and r.text == docs[r.doc_id].text for r in rows)
+
+
+def test_stages_keep_the_columns_of_documents(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, tables)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
