@@ -20,7 +20,6 @@ def _reader(spark: SparkSession, multi_line: bool) -> DataFrameReader:
     return (
         spark.read.option("header", True)
         .option("inferSchema", False)
-        .option("enforceSchema", False)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
@@ -47,9 +46,8 @@ def _headers(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -
 
 def _scan(spark: SparkSession, header: Sequence[str], files: list[str], multi_line: bool) -> DataFrame:
     """The columns we know of files that have the same header."""
-    # Unnamed columns get a name from their place; the comparison of headers needs the empty one.
-    fields = ["" if c == f"_c{i}" else c for i, c in enumerate(header)]
-    raw = _reader(spark, multi_line).schema(StructType([StructField(c, StringType()) for c in fields])).csv(files)
+    # Columns are assigned by place, which the headers have been found to agree in.
+    raw = _reader(spark, multi_line).schema(StructType([StructField(c, StringType()) for c in header])).csv(files)
     known: dict[str, str] = {}
     for column in raw.columns:
         if column in CSV_COLUMNS and CSV_COLUMNS[column] not in known.values():
