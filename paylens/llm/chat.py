@@ -17,20 +17,22 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paylens.llm import bpe
 from paylens.llm.common import map_in_arrow, text_bytes
 
 #: The pattern that splits text before merges, and the control strings.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Characters encoded at once; the merges of one very long run would take memory without bound.
-PIECE = 1 << 15
+#: Longer texts are encoded by `bpe`, in linear time and bounded memory also where one run is very long. The ids are the same.
+LONG = 1 << 15
 
 _escape = re.compile(r"<(\\*)\|")
 _unescape = re.compile(r"<\\(\\*)\|")
@@ -62,13 +64,17 @@ class Codec:
         self.start = max(ranks.values()) + 1
         self.sep, self.end = self.start + 1, self.start + 2
         self.marks = {self.start: START, self.sep: SEP, self.end: END}
+        self.ranks = ranks
         self.encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def of_long_texts(self) -> bpe.Tokenizer:
+        return bpe.Tokenizer(self.ranks, SPLIT)
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for at in range(0, len(text), PIECE):
-            out += self.encoding.encode_ordinary(text[at : at + PIECE])
-        return out
+        if len(text) > LONG:
+            return np.frombuffer(self.of_long_texts.encode(text), "<u4").tolist()
+        return self.encoding.encode_ordinary(text)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode_bytes(ids.tolist()).decode("utf-8", "replace")

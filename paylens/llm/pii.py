@@ -1,12 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Base entities (email, IP address, payment card, phone) are found by pattern and checked. They are the seeds. The word
-before an entity is a lexical pattern (its cue). Every word with a digit or an @ is a possible identifier; its
-occurrences tie it to cues. This graph of cues and instances is scored in rounds: a cue's confidence for a kind is the
-share of its occurrences in the whole corpus that instances of this kind follow, weighted by the instances' scores; an
-instance's score is the chance that not all of its cues are wrong (seeds: 1). A cue takes part once enough different
-seeds or instances of high score follow it, at half the confidence or more. Instances that score high enough are
-identifiers of that kind wherever they occur, outside base spans.
+Base entities (email, IP address, payment card, phone) are found by pattern and checked. They are the seeds, and so are
+credentials (kind `secret`): long hexadecimal words whose cue names a credential. The last word before an entity, with
+the marks that stand alone behind it (`token =`), is a lexical pattern (its cue), however long it is. Every word with a
+digit or an @ is a possible identifier; its occurrences tie it to cues. This graph of cues and instances is scored in
+rounds: a cue's confidence for a kind is the share of its occurrences in the whole corpus that instances of this kind
+follow, weighted by the instances' scores; an instance's score is the chance that not all of its cues are wrong (seeds:
+1). A cue takes part once enough different seeds or instances of high score follow it, at half the confidence or more.
+Instances that score high enough are identifiers of that kind wherever they occur, outside base spans; so are
+credentials among the seeds.
 
 Positions come from a replacement that puts marks round all matches and a split at the marks: the lengths of the pieces
 add up to offsets in code points.
@@ -23,8 +25,11 @@ KINDS = ("email", "ip", "card", "phone")
 CONFIDENCE = 0.8
 SUPPORT = 3
 ROUNDS = 3
-#: Characters of the text before an entity in which its cue is looked for.
-REACH = 64
+#: Found kinds, base kinds first.
+ALL_KINDS = (*KINDS, "secret")
+#: Words of a credential, and the cues that name one.
+SECRET = r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,128}$"
+SECRET_CUE = r"(key|token|secret|password|passwd|pwd)\W*$"
 
 #: Possessive forms of the contract's patterns; a look-behind stands where a match could only begin at a run's start.
 PATTERNS = {
@@ -35,6 +40,14 @@ PATTERNS = {
     "word": r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
 }
 OPEN, CLOSE = "\x01", "\x02"
+#: Stands for the white space inside a cue.
+GLUE = "\x1f"
+#: A word with a letter or digit, and the words without any that follow it, up to white space at the end.
+LAST_CUE = r"(?<!\S)([^\s\p{L}\p{N}]*+[\p{L}\p{N}]\S*+(?:\s++[^\s\p{L}\p{N}]++(?!\S))*+)\s++$"
+#: White space before a word without letter or digit.
+BEFORE_MARK = r"(?<=\S)\s++(?=[^\s\p{L}\p{N}]++(?!\S))"
+#: What stands round a word's core.
+LEAD, TRAIL = r"^[^\p{L}\p{N}+]++", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
 
 
 def _luhn(digits: Column) -> Column:
@@ -60,6 +73,17 @@ def _parts(text: Column, kind: str) -> Column:
     return F.transform(F.split(marked, OPEN), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("n"), x.alias("part")))
 
 
+def _last_cue(text: Column) -> Column:
+    """The cue at the end of a text; empty if there is none or no white space behind it."""
+    return F.regexp_replace(F.lower(F.regexp_extract(text, LAST_CUE, 1)), r"\s++", GLUE)
+
+
+def cues_of(docs: DataFrame) -> DataFrame:
+    """(cue): every word of the texts, with the marks behind it, as _last_cue writes them."""
+    joined = F.regexp_replace(F.lower(F.col("text").cast("string")), BEFORE_MARK, GLUE)
+    return docs.select(F.explode(F.split(joined, r"\s++")).alias("cue"))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """Stored rows (row_id, doc_id, kind, start, end, match, cue): all valid base entities, and all other words with a
     digit or @ that overlap none (kind 'word', without punctuation round them). Every row of docs has one more row here,
@@ -76,18 +100,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
     found = (
         docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
         .select("row_id", "doc_id", F.explode(parts).alias("p"))
-        .select("row_id", "doc_id", "p.kind", "p.n", match.alias("match"), F.length(rest).cast("long").alias("rest"), F.right(rest, F.lit(REACH)).alias("tail"))
+        .select("row_id", "doc_id", "p.kind", "p.n", match.alias("match"), F.length(rest).cast("long").alias("rest"), _last_cue(rest).alias("next_cue"))
     )
     # One shuffle, by row; both windows use its partitioning.
     found = found.repartition("row_id")
     order = Window.partitionBy("row_id", "kind").orderBy("n")
     word = F.col("kind") == "word"
-    core = F.regexp_extract("match", r"^[^\p{L}\p{N}+]*+(.*?)[^\p{L}\p{N}]*$", 1)
-    lead = F.when(word, F.length(F.regexp_extract("match", r"^[^\p{L}\p{N}+]*+", 0))).otherwise(0)
+    core = F.regexp_replace(F.regexp_replace("match", LEAD, ""), TRAIL, "")
+    lead = F.when(word, F.length(F.regexp_extract("match", LEAD, 0))).otherwise(0)
     placed = (
         found.withColumn("start", F.sum(F.length("match") + F.col("rest")).over(order) - F.col("rest") - F.length("match") + lead)
         # An entity has a cue only if white space stands before it.
-        .withColumn("cue", F.lower(F.regexp_extract(F.lag("tail").over(order), r"(\S+)\s+$", 1)))
+        .withColumn("cue", F.lag("next_cue").over(order))
         .withColumn("match", F.when(word, core).otherwise(F.col("match")))
         .withColumn("end", F.col("start") + F.length("match"))
         .filter(F.col("kind").isNull() | (F.col("n") > 0) & is_valid(F.col("kind"), F.col("match")))
@@ -101,19 +125,22 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def discovered(docs: DataFrame, found: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """(match, kind): unseen identifiers, with the kind that scores best (of equals, the first by name).
+    """(match, kind): unseen identifiers, with the kind that scores best (of equals, the first by name), and credentials
+    among the seeds.
 
     A cue takes part for a kind if at least `support` different seeds, or instances that the round before gave a score
     of `confidence` for this kind, follow it.
     """
     base = F.col("kind") != "word"
     seen = found.filter("kind IS NOT NULL")
-    seeds = seen.filter(base).select("match", "kind").distinct()
+    secret = ~base & F.col("match").rlike(SECRET) & F.col("cue").rlike(SECRET_CUE)
+    secrets = written(seen.filter(secret).select("match", F.lit("secret").alias("kind")).distinct(), "secrets")
+    seeds = seen.filter(base).select("match", "kind").distinct().unionByName(secrets)
     graph = written(seen.filter("cue <> ''").groupBy("cue", "match").agg(F.count(F.lit(1)).alias("n")), "graph")
     unseen = seen.filter(~base).select("match").distinct().join(graph.select("match").distinct(), "match", "left_semi")
     unseen = written(unseen.join(seeds, "match", "left_anti"), "unseen")
     certain = written(seeds.withColumn("score", F.lit(1.0)), "seeds")
-    corpus = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"\s+")).alias("w")).select(F.right("w", F.lit(REACH)).alias("cue"))
+    corpus = cues_of(docs)
     scores, totals = certain, None
     for _ in range(rounds):
         hits, backers = F.sum(F.col("n") * F.col("score")).alias("hits"), F.count_if(F.col("score") >= confidence).alias("backers")
@@ -133,18 +160,19 @@ def discovered(docs: DataFrame, found: DataFrame, confidence: float = CONFIDENCE
         some = graph.join(cue, "cue").groupBy("match", "kind").agg(F.round(1 - wrong, 9).alias("score"))
         scores = written(certain.unionByName(some.join(unseen, "match", "left_semi")), "scores")
     high = scores.join(unseen, "match", "left_semi").filter(F.col("score") >= confidence)
-    return high.groupBy("match").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind")).alias("best")).select("match", F.col("best.kind").alias("kind"))
+    best = high.groupBy("match").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind")).alias("best"))
+    return best.select("match", F.col("best.kind").alias("kind")).unionByName(secrets)
 
 
 def find(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, base and found, arrays of (kind_no, start, end) in this order.
 
-    base has the valid base entities, found the discovered ones. kind_no counts KINDS from 0; offsets are code points,
+    base has the valid base entities, found the discovered ones. kind_no counts ALL_KINDS from 0; offsets are code points,
     end exclusive. Null or empty text: empty arrays. Repeated rows stay, and so do null ids. Empty input: no rows.
     """
     seen = occurrences(docs)
     more = discovered(docs, seen, confidence, support, rounds).withColumnRenamed("kind", "as_kind")
-    number = lambda c: (F.array_position(F.array(*map(F.lit, KINDS)), c) - 1).cast("int")
+    number = lambda c: (F.array_position(F.array(*map(F.lit, ALL_KINDS)), c) - 1).cast("int")
     span = lambda kind: F.struct(number(kind).alias("kind_no"), "start", "end")
     base = F.collect_list(F.when(F.col("kind") != "word", span(F.col("kind"))))
     found = F.collect_list(F.when((F.col("kind") == "word") & F.col("as_kind").isNotNull(), span(F.col("as_kind"))))
@@ -154,5 +182,5 @@ def find(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT
 
 def span_text(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
-    name = lambda s: F.get(F.array(*map(F.lit, KINDS)), s["kind_no"])
+    name = lambda s: F.get(F.array(*map(F.lit, ALL_KINDS)), s["kind_no"])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -60,7 +60,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind_no"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
     every = F.sort_array(F.concat("base", "found"))
-    return found.select("doc_id", *map(count, range(4)), F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(every).alias("spans"))
+    digest = F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, range(4)), digest, pii.span_text(every).alias("spans"), F.size("found").cast("long").alias("n_found"))
 
 
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
