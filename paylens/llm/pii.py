@@ -45,7 +45,7 @@ GLUE = "\x1f"
 #: A word with a letter or digit, and the words without any that follow it, up to white space at the end.
 LAST_CUE = r"(?<!\S)([^\s\p{L}\p{N}]*+[\p{L}\p{N}]\S*+(?:\s++[^\s\p{L}\p{N}]++(?!\S))*+)\s++$"
 #: White space before a word without letter or digit.
-BEFORE_MARK = r"(?<=\S)\s++(?=[^\s\p{L}\p{N}]++(?!\S))"
+BEFORE_MARK = r"\s(?<!\s\s)\s*+(?=[^\s\p{L}\p{N}]++(?!\S))"
 #: What stands round a word's core.
 LEAD, TRAIL = r"^[^\p{L}\p{N}+]++", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
 
@@ -75,7 +75,8 @@ def _parts(text: Column, kind: str) -> Column:
 
 def _last_cue(text: Column) -> Column:
     """The cue at the end of a text; empty if there is none or no white space behind it."""
-    return F.regexp_replace(F.lower(F.regexp_extract(text, LAST_CUE, 1)), r"\s++", GLUE)
+    cue = F.regexp_replace(F.lower(F.regexp_extract(text, LAST_CUE, 1)), r"\s++", GLUE)
+    return F.when(F.right(text, F.lit(1)).rlike(r"\s"), cue).otherwise("")
 
 
 def cues_of(docs: DataFrame) -> DataFrame:
