@@ -44,7 +44,7 @@ STAGES = [
     ("sharding", assign_shards),
 ]
 
-#: Language scores and links by bit distance are not SQL. The stages' operators are tested one by one (README), run() is not.
+#: Language scores and links by bit distance are not SQL; tests/llm/test_pipeline.py holds run() against stages written anew.
 ORACLE_SQL = None
 
 
