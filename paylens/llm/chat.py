@@ -114,8 +114,8 @@ def codec_of(spark: SparkSession, vocabulary: str) -> Callable[[], Codec]:
 def format_turns(turns: DataFrame, vocabulary: str = VOCABULARY, template: Template = Template()) -> DataFrame:
     """One row per row of turns (conv_id, turn, role, text): conv_id, turn, role, order_key, n_tokens, token_ids, loss_mask.
 
-    token_ids holds 32-bit little-endian ids, loss_mask one byte for each. Null role or text: empty. order_key orders
-    turns of equal number and role.
+    token_ids holds 32-bit little-endian ids, loss_mask one byte for each. Null role or text: empty. order_key, the
+    first 15 hexadecimal digits of the text's MD5, orders turns of equal number and role.
     """
     schema = pa.schema(
         [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("order_key", pa.int64())]
@@ -126,7 +126,7 @@ def format_turns(turns: DataFrame, vocabulary: str = VOCABULARY, template: Templ
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.xxhash64("text").alias("order_key"),
+        F.conv(F.substring(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long").alias("order_key"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
 
