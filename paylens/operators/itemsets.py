@@ -16,6 +16,8 @@ from paylens.functions.columns import name
 WORD_BITS = 64
 #: Items whose numbers are broadcast to the rows; more of them are joined by a shuffle.
 BROADCAST_ITEMS = 100_000
+#: Items that one window numbers; more of them are dealt over several.
+WINDOW_ITEMS = 100_000
 
 
 def _word(number: Column) -> Column:
@@ -62,23 +64,40 @@ def cooccurrence(pairs: DataFrame, owners: Sequence[str], item: str, min_support
     return counts.join(side("a"), "_a").join(side("b"), "_b").select("item_a", "item_b", "n_both", "n_a", "n_b")
 
 
+def _numbered(items: DataFrame) -> DataFrame:
+    """``_item, _w, _bit`` for each row of ``_item``: a word's number and a bit of that word which no other item has.
+
+    Up to ``WINDOW_ITEMS`` items are numbered in one window; more are dealt by hash, so that no window gets them all.
+    """
+    parts = items.agg(F.floor(F.count(F.lit(1)) / WINDOW_ITEMS) + 1).scalar()
+    dealt = items.withColumn("_part", F.pmod(F.xxhash64("_item"), parts))
+    placed = dealt.withColumn("_no", F.row_number().over(Window.partitionBy("_part").orderBy("_item")) - 1)
+    return placed.select("_item", (F.floor(F.col("_no") / WORD_BITS) * parts + F.col("_part")).alias("_w"), _bit(F.col("_no")).alias("_bit"))
+
+
 def holders(pairs: DataFrame, owners: Sequence[str], item: str, wanted: DataFrame, profile: str) -> DataFrame:
     """``owners, profile`` for each owner who holds all items of a profile; ``wanted`` has rows (profile, item).
 
-    Division by bit maps: the wanted items of a profile are numbered, an owner's hits are set in words, and the owner
-    holds all if as many bits are set as the profile has items. Any number of items and of profiles; an owner is in the
+    Division by bit maps: the wanted items are numbered, for all profiles alike, so that an owner's hits are one set of
+    words, however many profiles ask for them. A profile is a mask for each of its words, and the owner holds all if as
+    many words contain their mask as the profile has. Any number of items and of profiles; an owner is in the
     result only if it has a row in ``pairs``. A null item is no wish and nothing that one can hold; a profile with no
     item but null is held by every owner.
     """
     wishes = wanted.select(F.col(name(profile)).alias("_p"), F.col(name(item)).alias("_item")).distinct()
-    place = Window.partitionBy("_p").orderBy("_item")
-    numbered = wishes.where(F.col("_item").isNotNull()).withColumn("_no", F.row_number().over(place) - 1)
-    sizes = wishes.groupBy("_p").agg(F.count("_item").alias("_size"))
-    held = pairs.select(*map(name, owners), F.col(name(item)).alias("_item"))
-    words = held.join(numbered, "_item").groupBy(*map(name, owners), "_p", _word(F.col("_no")).alias("_w")).agg(F.bit_or(_bit(F.col("_no"))).alias("_bits"))
-    hits = words.groupBy(*map(name, owners), "_p").agg(F.sum(F.bit_count("_bits").cast("long")).alias("_hits"))
-    full = hits.join(sizes.withColumnRenamed("_p", "_q"), F.col("_p").eqNullSafe(F.col("_q")) & (F.col("_hits") == F.col("_size")))
-    # A profile that wishes nothing: all owners, once for each such profile.
-    open_profiles = sizes.where("_size = 0").agg(F.collect_list(F.struct("_p")).alias("_all")).scalar()
-    everyone = pairs.select(*map(name, owners)).distinct().select(*map(name, owners), F.explode(open_profiles).alias("_e"))
-    return full.select(*map(name, owners), F.col("_p").alias(profile)).unionByName(everyone.select(*map(name, owners), F.col("_e._p").alias(profile)))
+    numbered = _numbered(wishes.where(F.col("_item").isNotNull()).select("_item").distinct())
+    # A pair that no profile asks for sets no bit; its owner is kept for the profiles that wish nothing.
+    held = pairs.select(*map(name, owners), F.col(name(item)).alias("_item")).join(numbered, "_item", "left")
+    bits, word = F.coalesce("_bit", F.lit(0).cast("long")), F.coalesce("_w", F.lit(0).cast("long"))
+    words = held.groupBy(*map(name, owners), word.alias("_w")).agg(F.bit_or(bits).alias("_bits"))
+
+    masks = wishes.join(numbered, "_item").groupBy("_p", "_w").agg(F.bit_or("_bit").alias("_mask"))
+    open_profiles = wishes.groupBy("_p").agg(F.count("_item").alias("_items")).where("_items = 0").select("_p")
+    last_word = numbered.agg(F.coalesce(F.max("_w"), F.lit(0).cast("long"))).scalar()
+    every_word = F.explode(F.sequence(F.lit(0).cast("long"), last_word)).alias("_w")
+    masks = masks.unionByName(open_profiles.select("_p", every_word, F.lit(0).cast("long").alias("_mask")))
+    masks = masks.withColumn("_size", F.count_if(F.col("_mask") != 0).over(Window.partitionBy("_p")))
+
+    inside = words.join(masks, "_w").where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
+    found = inside.groupBy(*map(name, owners), "_p").agg(F.count_if(F.col("_mask") != 0).alias("_hits"), F.first("_size").alias("_size"))
+    return found.where(F.col("_hits") == F.col("_size")).select(*map(name, owners), F.col("_p").alias(profile))

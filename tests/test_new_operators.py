@@ -298,6 +298,52 @@ def test_holders_match_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_holders_of_items_in_several_windows(spark, monkeypatch):
+    """Wished items dealt over 15 windows; an owner of unwished items alone, and one of null, hold the open profiles."""
+    rng = random.Random(8)
+    baskets = {o: [f"i{rng.randint(0, 150)}" for _ in range(rng.randint(1, 150))] for o in range(40)} | {777: ["unwished"], 999: [f"i{i}" for i in range(151)]}
+    wishes = {"one": ["i1"], "many": [f"i{i}" for i in range(0, 140, 2)], "all": [f"i{i}" for i in range(151)], None: ["i1", "i2"]}
+    wanted = spark.createDataFrame([(p, i) for p, items in wishes.items() for i in items] + [("none", None), ("nothing", None)], "p string, item string")
+    held = {**{o: set(i) for o, i in baskets.items()}, None: {"i1", "i2"}, 5: {*baskets[5]}, 888: set()}
+    pairs = long_form(spark, baskets).union(spark.createDataFrame([(888, None)], "o long, item string"))
+    want = [(o, p) for o, items in held.items() for p, wish in {**wishes, "none": [], "nothing": []}.items() if items >= set(wish)]
+    for most in (10, 150, 1000):
+        monkeypatch.setattr(itemsets, "WINDOW_ITEMS", most)
+        got = itemsets.holders(pairs, ["o"], "item", wanted, "p")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str), most
+
+
+def aggregated_rows(df):
+    """The rows that each hash aggregate gave."""
+    def walk(node):
+        metric = node.metrics().get("numOutputRows")
+        if node.nodeName() == "HashAggregate" and metric.isDefined():
+            yield metric.get().value()
+        children = node.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i))
+
+    df.collect()
+    return [*walk(df._jdf.queryExecution().executedPlan())]
+
+
+def test_sets_of_owners_do_not_grow_with_profiles(spark):
+    """A task's table holds an owner once, not once for each profile that asks for one of the owner's items."""
+    pairs = spark.range(0, 2000, 1, 2).selectExpr("id AS o", "concat('i', id % 5) AS item").withColumn("item", F.explode(F.array("item", F.lit("i5"))))
+    wanted = spark.createDataFrame([(f"p{p}", i) for p in range(20) for i in ("i0", "i5", f"x{p}")], "p string, item string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = aggregated_rows(itemsets.holders(pairs, ["o"], "item", wanted, "p"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(rows) <= 2 * 2000  # an owner's two items may come from two tasks
+
+
+def test_profile_holders_read_the_tables_once(spark):
+    plan = marts.skill_profile_holders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert scans(plan) == 6
+
+
 def test_item_sets_of_no_rows(spark):
     none = spark.createDataFrame([], "o long, item string")
     wanted = spark.createDataFrame([("p", "a")], "p string, item string")
