@@ -75,19 +75,21 @@ def _numbered(items: DataFrame) -> DataFrame:
     return placed.select("_item", (F.floor(F.col("_no") / WORD_BITS) * parts + F.col("_part")).alias("_w"), _bit(F.col("_no")).alias("_bit"))
 
 
-def holders(pairs: DataFrame, owners: Sequence[str], item: str, wanted: DataFrame, profile: str) -> DataFrame:
+def holders(pairs: DataFrame, owners: Sequence[str], item: str, wanted: DataFrame, profile: str, short: bool = False) -> DataFrame:
     """``owners, profile`` for each owner who holds all items of a profile; ``wanted`` has rows (profile, item).
 
     Division by bit maps: the wanted items are numbered, for all profiles alike, so that an owner's hits are one set of
     words, however many profiles ask for them. A profile is a mask for each of its words, and the owner holds all if as
     many words contain their mask as the profile has. Any number of items and of profiles; an owner is in the
     result only if it has a row in ``pairs``. A null item is no wish and nothing that one can hold; a profile with no
-    item but null is held by every owner.
+    item but null is held by every owner. A ``short`` list is broadcast whatever Spark's threshold: shuffled by few
+    items or words, all rows would meet in as few tasks. Others are left to the threshold.
     """
+    listed = F.broadcast if short else lambda rows: rows
     wishes = wanted.select(F.col(name(profile)).alias("_p"), F.col(name(item)).alias("_item")).distinct()
     numbered = _numbered(wishes.where(F.col("_item").isNotNull()).select("_item").distinct())
     # A pair that no profile asks for sets no bit; its owner is kept for the profiles that wish nothing.
-    held = pairs.select(*map(name, owners), F.col(name(item)).alias("_item")).join(numbered, "_item", "left")
+    held = pairs.select(*map(name, owners), F.col(name(item)).alias("_item")).join(listed(numbered), "_item", "left")
     bits, word = F.coalesce("_bit", F.lit(0).cast("long")), F.coalesce("_w", F.lit(0).cast("long"))
     words = held.groupBy(*map(name, owners), word.alias("_w")).agg(F.bit_or(bits).alias("_bits"))
 
@@ -98,6 +100,6 @@ def holders(pairs: DataFrame, owners: Sequence[str], item: str, wanted: DataFram
     masks = masks.unionByName(open_profiles.select("_p", every_word, F.lit(0).cast("long").alias("_mask")))
     masks = masks.withColumn("_size", F.count_if(F.col("_mask") != 0).over(Window.partitionBy("_p")))
 
-    inside = words.join(masks, "_w").where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
+    inside = words.join(listed(masks), "_w").where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
     found = inside.groupBy(*map(name, owners), "_p").agg(F.count_if(F.col("_mask") != 0).alias("_hits"), F.first("_size").alias("_size"))
     return found.where(F.col("_hits") == F.col("_size")).select(*map(name, owners), F.col("_p").alias(profile))

@@ -370,10 +370,10 @@ def skill_profile_holders(spark, source, params=ALL_POSTINGS, profiles=SKILL_PRO
     """Companies and sectors whose postings ask for all skills of a profile."""
     owners = ["company_name", "sector"]
     pairs = skill_pairs(_global(spark, source, params), owners)
-    # A list inside the plan, so that its size is known and it is broadcast from the start.
+    # A list inside the plan: no job and no Python worker makes it.
     rows = [F.struct(F.lit(profile).alias("profile"), F.lit(skill).alias("skill")) for profile, held in profiles.items() for skill in held]
     wanted = spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
-    return itemsets.holders(pairs, owners, "skill", wanted, "profile")
+    return itemsets.holders(pairs, owners, "skill", wanted, "profile", short=True)
 
 
 # ---------------------------------------------------------------- profile

@@ -344,6 +344,23 @@ def test_profile_holders_read_the_tables_once(spark):
     assert scans(plan) == 6
 
 
+def test_profile_holders_are_not_shuffled_by_skill(spark):
+    """Five skills would be five tasks for all rows, also where Spark's own broadcasts are off."""
+    off = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    want = sorted(map(str, marts.skill_profile_holders(spark, "/root/testdata/sf0.001").collect()))
+    for key in off:
+        spark.conf.set(key, "-1")
+    try:
+        found = marts.skill_profile_holders(spark, "/root/testdata/sf0.001")
+        assert want and sorted(map(str, found.collect())) == want
+        plan = plan_of(found)
+    finally:
+        for key in off:
+            spark.conf.unset(key)
+    assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(company_name" in plan
+    assert "hashpartitioning(skill" not in plan and "hashpartitioning(_item" not in plan and "hashpartitioning(_w" not in plan
+
+
 def test_item_sets_of_no_rows(spark):
     none = spark.createDataFrame([], "o long, item string")
     wanted = spark.createDataFrame([("p", "a")], "p string, item string")
