@@ -98,7 +98,8 @@ def links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
     on = (F.col("t.part") == F.col("p.part")) & (F.col("t.key") == F.col("p.key"))
     # A pair that both halves find counts for the low half only.
     once = (F.col("t.part") == 0) | (F.bit_count(differ.bitwiseAND(F.lit(low))) > 1)
-    return t.join(p, on & near & once).select("a", "b")
+    # Spark counts the 66 probes of a class as one row, and would broadcast them all by the driver: merged, they are shuffled.
+    return t.hint("merge").join(p, on & near & once).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
