@@ -117,8 +117,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         new = written(small.filter("u <> v").distinct(), "edges")
-        same = new.select("u").distinct().count() == new.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
-        if same and edges.join(new, ["u", "v"], "left_anti").isEmpty():
+        # Both have different rows: counted together, as a join may broadcast stored edges, whose files can be far smaller than the rows.
+        stars = new.select("u").distinct().count() == new.count()
+        if stars and edges.unionAll(new).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").isEmpty():
             return new.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
@@ -145,7 +146,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, seed: in
     least = member.groupBy("root").agg(F.min("first").alias("least"))
     known = member.join(least, "root").join(degree, "fp", "left").select("fp", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     is_kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
-    return prints.join(known, "fp").select("doc_id", "text_hash", "fp", "n_links", F.col("least.doc_id").alias("component_id"), is_kept.alias("is_kept"))
+    # Files of stored rows can be far smaller than the rows, which a join could broadcast by that size: merged.
+    return prints.hint("merge").join(known, "fp").select("doc_id", "text_hash", "fp", "n_links", F.col("least.doc_id").alias("component_id"), is_kept.alias("is_kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:

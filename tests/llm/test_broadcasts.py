@@ -1,6 +1,7 @@
-"""No join broadcasts rows by a size that Spark takes for far less than it is: the probes of a search."""
+"""No join broadcasts rows by a size that Spark takes for far less than it is: all probes of a search, or stored rows."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from paylens.llm import simhash
@@ -13,6 +14,14 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
 
 
+@pytest.fixture
+def copies(spark):
+    """200 texts, each in 100 rows, without ids: the rows' fingerprints are stored in a few bytes."""
+    return spark.range(0, 20_000, 1, 1).select(
+        F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", *(F.xxhash64(F.floor(F.col("id") / 100), F.lit(k)) for k in range(12))).alias("text")
+    )
+
+
 def test_probes_are_not_broadcast(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(-(2**62), 2**62, 400)
@@ -28,6 +37,24 @@ def test_probes_are_not_broadcast(spark):
     assert "Broadcast" not in plan_of(found)
 
 
+def test_rows_are_not_broadcast(copies):
+    found = simhash.near_duplicates(copies)
+    assert found.select("fp").distinct().count() == 200 and found.filter("is_kept").count() == 20_000
+    for df in (found, found.filter("is_kept")):
+        assert "SortMergeJoin" in next(line for line in plan_of(df).splitlines() if "Join" in line)  # the join that rows take part in
+
+
+def test_stored_edges_are_not_broadcast(spark, monkeypatch):
+    kind, seen = type(spark.range(1)), []
+    is_empty = kind.isEmpty
+    monkeypatch.setattr(kind, "isEmpty", lambda df: (seen.append(df), is_empty(df))[1])
+    dense = [(i, j) for i in range(40) for j in range(i + 1, 40)]
+    edges = spark.createDataFrame(dense + dense[:50] + [(100, 101), (102, 101), (102, 103)], "a long, b long")
+    got = sorted((r.node, r.root) for r in simhash.components(edges).collect())
+    assert got == [(i, 0) for i in range(40)] + [(i, 100) for i in range(100, 104)]
+    assert seen and not any("Broadcast" in plan_of(df) for df in seen)
+
+
 def test_pipeline_stage_does_not_broadcast_probes(spark, monkeypatch):
     """The stage of the pipeline finds its links by the same join, and leaves one row of each component."""
     import corpus_pipeline
